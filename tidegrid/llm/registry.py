@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
+QUERIES = {
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
+}
 SQL = {"op10_mixing": mixing.OP10_SQL}
