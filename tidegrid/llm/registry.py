@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
