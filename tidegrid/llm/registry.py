@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import hamming_search, line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op7_hamming_search": hamming_search.op7_hamming_search,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op8_line_dedup": line_dedup.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
+SQL = {"op7_hamming_search": hamming_search.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
