@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hamming_search, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup
+from . import hamming_search, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, wavelet
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_wavelet": wavelet.op6_wavelet,
     "op7_hamming_search": hamming_search.op7_hamming_search,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
