@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers (about 200 MB); a full memory is emptied, which costs time only.
-REMEMBERED = 1_000_000
+#: A worker remembers the chunks of a young generation until there are so many, and then of an old one (about 200 MB).
+REMEMBERED = 400_000
 LONG_CHUNK = 80
 SPACES = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()]
 
@@ -57,31 +57,60 @@ class Encoder:
         self.tokenizer.no_padding()
         self.rule = _rule(json.loads(spec))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.rule == "lead":  # byte-level tokens have a character for each byte
+            names = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(names.values()) + 1, np.int64)
+            self.token_bytes[list(names.values())] = list(map(len, names))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Each chunk's ids, encoded on its own, in one call."""
-        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        flat, width = np.array(e.ids, self.kind).tobytes(), self.kind.itemsize
-        ends = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(chunks) + 1)) * width).tolist()
-        return {c: flat[i:j] for c, i, j in zip(chunks, ends, ends[1:], strict=False)}
+        """The ids of each of these chunks. They are joined again to encode many in one call, as they would stand in a
+        text, and the ids are told apart by the bytes or the places they stand for."""
+        out: dict[str, bytes] = {}
+        glue, width = "" if self.rule == "lead" else " ", self.kind.itemsize
+        blocks = [chunks[i : i + 1024] for i in range(0, len(chunks), 1024)]
+        texts = [glue.join(block) for block in blocks]
+        if self.rule == "lead":
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        else:
+            encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        for block, e in zip(blocks, encoded, strict=True):
+            ids = np.array(e.ids, np.int64)
+            if self.rule == "lead":
+                after = np.cumsum(self.token_bytes[ids])
+                ends = np.searchsorted(after, np.cumsum([0, *(len(c.encode()) for c in block)]), side="right")
+                ends[0] = 0
+            else:
+                places = np.fromiter((x for x, _ in e.offsets), np.int64, len(ids))
+                ends = np.searchsorted(places, np.cumsum([0, *(len(c) + 1 for c in block)]))
+            flat, ends = ids.astype(self.kind).tobytes(), (ends * width).tolist()
+            out.update(zip(block, [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
+        return out
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of these distinct chunks, from memory or learned now."""
-        memory = self.memory
-        new = [c for c in chunks if c not in memory]
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = chunks
-        for i in range(0, len(new), 8192):
-            memory |= self._learn(new[i : i + 8192])
-        out = [memory[c] for c in chunks]
+        young, old, new = self.young, self.old, []
+        for c in chunks:
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                else:
+                    new.append(c)
+        for i in range(0, len(new), 65_536):
+            young |= self._learn(new[i : i + 65_536])
+        out = [young[c] for c in chunks]
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
         for c in new:
             if len(c) > LONG_CHUNK:
-                del memory[c]
+                del young[c]
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +126,19 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         if self.rule == "lead":
             spaces = pa.array(SPACES, words.type)
-            empty = (pc.utf8_length(words).to_numpy(zero_copy_only=False) == 0)[at]
-            before = pc.is_in(pc.utf8_slice_codeunits(words, 0, 1), spaces).to_numpy(zero_copy_only=False)[at]
-            after = pc.is_in(pc.utf8_slice_codeunits(words, -1), spaces).to_numpy(zero_copy_only=False)[at]
+            flags = (pc.equal(pc.utf8_length(words), 0), pc.is_in(pc.utf8_slice_codeunits(words, 0, 1), spaces), pc.is_in(pc.utf8_slice_codeunits(words, -1), spaces))
+            flags = [f.to_numpy(zero_copy_only=False) for f in flags]
+            plain = ~(flags[0] | flags[1] | flags[2])
+            empty, before, after = (f[at] for f in flags)
             before[begins[:-1]] = False
             after[begins[1:] - 1] = False
             odd = np.logical_or.reduceat(empty | before | after, begins[:-1])
             firsts, inverse = np.unique(at[begins[:-1]], return_inverse=True)
             names = words.to_pylist()
-            table = self._known([" " + c for c in names]) + list(self._learn([names[i] for i in firsts]).values())
+            led = [" " + c for c in names]
+            safe = iter(self._known([c for c, p in zip(led, plain, strict=True) if p]))
+            rest = iter(self._alone([c for c, p in zip(led, plain, strict=True) if not p]))  # last in their texts, or in odd ones
+            table = [next(safe if p else rest) for p in plain] + self._alone([names[i] for i in firsts])
             at[begins[:-1]] = len(names) + inverse
         else:
             table = self._known(words.to_pylist())
