@@ -1,6 +1,250 @@
-"""Registered time-series queries and their oracle SQL."""
+"""Registered time-series queries over the events adapter, and the same in DuckDB SQL (plans/oracle.py)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.datetimes import before_days, move_minutes, parse_text, snap, text_time_filter, time_filter
+from ..operators import asof, metrics, model, scaling, split, timegrid, train, windows
+from ..profile import EVENT_CELLS, EVENTS, KPI_RANGES, Profile
+from . import events as ev
+from .oracle import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+P = EVENTS
+HIDDEN = 4
+UNTIL, AT = "20240120120000", "20240120140000"
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles rounded, for comparison with another engine."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def time_filter_days(spark, d):
+    """Closed ranges on each of three days, on text as the key-value source has it and on time for the file scan."""
+    rows = ev.kv(spark, d).filter(time_filter(F.col("ts"), UNTIL, 45, 3) & text_time_filter(F.col("evt_dtm"), UNTIL, 45, 3))
+    return rows.select("event_id", "evt_dtm", "cell")
+
+
+def time_filter_exact(spark, d):
+    return ev.kv(spark, d).withColumn("slot_dtm", F.date_format("slot", "yyyyMMddHHmmss")).filter(text_time_filter(F.col("slot_dtm"), UNTIL, 0, 7)).select("event_id", "slot_dtm", "cell")
+
+
+def text_times(spark, d):
+    e = F.col("evt_dtm")
+    return ev.kv(spark, d).select("event_id", parse_text(e).alias("parsed"), move_minutes(e, 7).alias("later"), move_minutes(e, -90).alias("earlier"), before_days(e, 30).alias("days_before"))
+
+
+def cell_in_filter(spark, d):
+    return windows.filter_cells(ev.raw(spark, d), [1, 3], P).select("event_id", "cell", "value")
+
+
+def cell_ordinal(spark, d):
+    return ev.raw(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+def dedup_last(spark, d):
+    rows = ev.raw(spark, d).withColumn("ts", snap(F.col("ts"), P.step_minutes))
+    return timegrid.keep_last(rows, ["cell", "ts"], ["event_id"])
+
+
+def union_rows(spark, d):
+    r = ev.raw(spark, d)
+    return timegrid.union_all(r.filter("cell = 0"), r.filter("cell = 1"), r.filter("cell = 1 AND value > 50")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spine_hours(spark, d):
+    return timegrid.spine(ev.cells(spark), P)
+
+
+def spine_fine(spark, d):
+    """The ten-second base grid of one day and cell."""
+    day = Profile(P.features, start=P.start, end=P.start.replace(day=2))
+    return timegrid.spine(ev.cells(spark).filter("cell = 2"), day, day.base_seconds)
+
+
+def spine_left_join(spark, d):
+    hours = ev.raw(spark, d).select("cell", snap(F.col("ts"), P.step_minutes).alias("ts"), "event_id", "value")
+    return timegrid.align(timegrid.spine(ev.cells(spark), P), hours, P).fillna(-1, ["event_id"])
+
+
+def resample_mean(spark, d):
+    return _r(ev.gridded(spark, d), "value", "k")
+
+
+def gap_fill(spark, d):
+    return _r(ev.filled(spark, d), "value", "k")
+
+
+def min_max_range(spark, d):
+    return _r(scaling.value_range(ev.filled(spark, d), P.features), "min", "max")
+
+
+def scale_global(spark, d):
+    return _r(ev.scaled(spark, d), "value", "k")
+
+
+def scale_const(spark, d):
+    """Online scaling by fixed ranges: value as rsrp, k as dl_prb_usage_rate."""
+    ranges = {"value": KPI_RANGES["rsrp"], "k": KPI_RANGES["dl_prb_usage_rate"]}
+    return _r(scaling.scale_const(ev.raw(spark, d), ranges, P, "double").select("event_id", "value", "k"), "value", "k")
+
+
+def unscale(spark, d):
+    filled = ev.filled(spark, d)
+    done, ranges = scaling.scale_by_own_range(filled, P)
+    return _r(scaling.unscale(done, ranges, P), "value", "k")
+
+
+def unscale_vectors(spark, d):
+    ranges = {"value": (10.0, 30.0), "k": (-5.0, 5.0)}
+    v = scaling.unscale_vector(F.array("value", "k"), ranges, P.features, P)
+    out = ev.scaled(spark, d).select("cell", "ts", v.alias("v"))
+    return _r(out.select("cell", "ts", F.element_at("v", 1).alias("value"), F.element_at("v", 2).alias("k")), "value", "k")
+
+
+def _long(df: DataFrame, column: str) -> DataFrame:
+    return _r(windows.long_form(df, ["cell", "dt"], column), "value")
+
+
+def windows_positional(spark, d):
+    return _long(windows.positional(ev.scaled(spark, d), P), "x")
+
+
+def targets_positional(spark, d):
+    return _long(windows.positional(ev.scaled(spark, d), P), "y")
+
+
+def memory_positional(spark, d):
+    return _long(windows.positional(ev.scaled(spark, d), P), "m")
+
+
+def windows_per_day(spark, d):
+    w = windows.windows(ev.scaled(spark, d), P)
+    return _r(windows.long_form(w, ["cell", "slot", "dt"], "x"), "value")
+
+
+def targets_per_day(spark, d):
+    w = windows.windows(ev.scaled(spark, d), P)
+    return _r(windows.long_form(w, ["cell", "slot", "dt"], "y"), "value")
+
+
+def windows_foresight(spark, d):
+    """Targets two steps after the input ends."""
+    far = Profile(**{**P.__dict__, "foresight": 2})
+    return _r(windows.long_form(windows.windows(ev.scaled(spark, d), far), ["cell", "slot", "dt"], "y"), "value")
+
+
+def memory_per_day(spark, d):
+    return _long(windows.per_day(ev.scaled(spark, d), P), "m")
+
+
+def memory_by_time(spark, d):
+    """Samples of the steps that had rows, gaps left out, memory on exact calendar days."""
+    return _long(windows.by_time(ev.means(spark, d), P), "m")
+
+
+def last_days_tensor(spark, d):
+    s = windows.last_days_series(ev.scaled(spark, d), P)
+    return _r(windows.long_form(s, ["cell"], "series"), "value")
+
+
+def _samples(spark, d):
+    return windows.per_day(ev.scaled(spark, d), P).select("cell", "dt", "x", "y", "m")
+
+
+def split_time(spark, d):
+    return split.by_time(_samples(spark, d), P).groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+
+
+def split_tail(spark, d):
+    s = split.by_tail(windows.positional(ev.scaled(spark, d), P), P)
+    return s.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+
+
+def _parts(spark, d):
+    s = split.by_time(_samples(spark, d), P)
+    return split.dev_exact(s, P, split.mixing_hash(F.col("cell"), F.dayofyear("dt"), F.hour("dt")))
+
+
+def split_dev_exact(spark, d):
+    return _parts(spark, d).select("cell", "dt", "part")
+
+
+def ar_head(spark, d):
+    w = model.fixed_weights(P, HIDDEN)
+    a = _samples(spark, d).select("cell", "dt", F.posexplode(model.ar_head(F.col("x"), w.x_w, w.x_b)).alias("feature", "value"))
+    return _r(a, "value")
+
+
+def _forecasts(spark, d, how=model.predict):
+    return how(_samples(spark, d), model.fixed_weights(P, HIDDEN), P)
+
+
+def predict(spark, d):
+    out = _forecasts(spark, d).select("cell", "dt", F.posexplode("pred").alias("feature", "value"))
+    return _r(out, "value")
+
+
+def predict_native(spark, d):
+    out = _forecasts(spark, d, model.predict_native).select("cell", "dt", F.posexplode("pred").alias("feature", "value"))
+    return _r(out, "value")
+
+
+def forecast_errors(spark, d):
+    return _r(metrics.errors(_forecasts(spark, d)), "mse", "mae", "rse", "mape", "smape")
+
+
+def amplify(spark, d):
+    return split.replicate(ev.raw(spark, d).filter("cell = 4").select("event_id"), 3)
+
+
+def _online(spark, d):
+    return ev.filled(spark, d)
+
+
+def asof_inputs(spark, d):
+    q = asof.input_queue(_online(spark, d), AT, P)
+    return _r(windows.long_form(q, ["cell"], "queue"), "value")
+
+
+def asof_memory(spark, d):
+    q = asof.memory_queue(_online(spark, d), asof.moved(AT, P.step_minutes, -1), P)
+    return _r(windows.long_form(q, ["cell"], "days"), "value")
+
+
+def queue_advance(spark, d):
+    """Queues of one step before, advanced: equal to those of the step itself."""
+    rows = _online(spark, d)
+    q = asof.advance_input(asof.input_queue(rows, asof.moved(AT, -P.step_minutes), P), rows, AT, P)
+    return _r(windows.long_form(q, ["cell"], "queue"), "value")
+
+
+def memory_advance(spark, d):
+    rows, next_at = _online(spark, d), asof.moved(AT, P.step_minutes, -1)
+    q = asof.advance_memory(asof.memory_queue(rows, asof.moved(next_at, -P.step_minutes), P), rows, next_at, P)
+    return _r(windows.long_form(q, ["cell"], "days"), "value")
+
+
+def asof_pairs(spark, d):
+    """Which cells can be forecast at a time, and from how many steps."""
+    q = asof.features_at(_online(spark, d), AT, P)
+    return q.select("cell", F.size("x").alias("n_x"), F.size(F.flatten("m")).alias("n_m"))
+
+
+def train_history(spark, d):
+    """Losses of a short training run; no SQL form."""
+    done = train.train(_parts(spark, d), P, HIDDEN, epochs=3)
+    return spark.createDataFrame(done.history, "epoch int, train_loss double, dev_loss double")
+
+
+_LIST = (
+    time_filter_days, time_filter_exact, text_times, cell_in_filter, cell_ordinal, dedup_last, union_rows, spine_hours, spine_fine, spine_left_join,
+    resample_mean, gap_fill, min_max_range, scale_global, scale_const, unscale, unscale_vectors, windows_positional, targets_positional, memory_positional,
+    windows_per_day, targets_per_day, windows_foresight, memory_per_day, memory_by_time, last_days_tensor, split_time, split_tail, split_dev_exact,
+    ar_head, predict, predict_native, forecast_errors, amplify, asof_inputs, asof_memory, queue_advance, memory_advance, asof_pairs, train_history,
+)
+QUERIES = {f.__name__: f for f in _LIST}
