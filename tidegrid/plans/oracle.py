@@ -66,7 +66,7 @@ joined AS (SELECT cell, dt, feature AS i, a AS v FROM a UNION ALL SELECT cell, d
 pred AS (SELECT cell, dt, o::INTEGER AS feature, tanh(sum(v * {_w(9, 'i', 'o')})) AS pred FROM joined, range(2) t(o) GROUP BY cell, dt, o)"""
 
 _MIXED = "((((((0 * 31 + cell) % 1048576 * 2654435761 + 40503) % 4294967296) * 31 + dayofyear(dt)) % 1048576 * 2654435761 + 40503) % 4294967296 * 31 + hour(dt)) % 1048576 * 2654435761 + 40503"
-_PREDICT = f"WITH {FORECAST} SELECT cell, dt, feature, round(pred, 6) AS value FROM pred"
+_PREDICT = f"WITH {FORECAST} SELECT cell, dt, feature, CASE WHEN abs(pred) < 5e-7 THEN 0.0::DOUBLE ELSE round(pred, 6) END AS value FROM pred"
 _FILLED_LONG = f"{FILLED}, fl AS (SELECT cell, ts, 0 AS feature, value AS v FROM filled UNION ALL SELECT cell, ts, 1, k FROM filled)"
 _INPUTS = f"WITH {_FILLED_LONG} SELECT cell, (hour(ts) - 10)::INTEGER AS step, feature, round(v, 6) AS value FROM fl WHERE ts BETWEEN '2024-01-20 10:00:00' AND '2024-01-20 14:00:00'"
 _MEMORY = f"WITH {_FILLED_LONG} SELECT cell, (ts::DATE - DATE '2024-01-13')::INTEGER AS day, (hour(ts) - 10)::INTEGER AS step, feature, round(v, 6) AS value FROM fl WHERE ts::DATE BETWEEN '2024-01-13' AND '2024-01-19' AND hour(ts) BETWEEN 10 AND 15"
@@ -110,7 +110,7 @@ FROM samples s, range(7) t(j), range(6) u(i), long l WHERE l.cell = s.cell AND l
     "split_dev_exact": f"""WITH {BY_DAY}, parts AS (
   SELECT cell, dt, CASE WHEN dt > (SELECT max(dt) FROM samples) - INTERVAL 7 DAY THEN 'test' ELSE 'train' END AS part, ({_MIXED}) % 4294967296 AS h FROM samples
 ) SELECT cell, dt, CASE WHEN part = 'train' AND row_number() OVER (PARTITION BY part ORDER BY h, cell, dt) <= floor((SELECT count(*) FROM parts WHERE part = 'train') * 0.1::DOUBLE) THEN 'dev' ELSE part END AS part FROM parts""",
-    "ar_head": f"WITH {FORECAST} SELECT cell, dt, feature, round(a, 6) AS value FROM a",
+    "ar_head": f"WITH {FORECAST} SELECT cell, dt, feature, CASE WHEN abs(a) < 5e-7 THEN 0.0::DOUBLE ELSE round(a, 6) END AS value FROM a",
     "predict": _PREDICT,
     "predict_native": _PREDICT,
     "forecast_errors": f"""WITH {FORECAST}, e AS (

@@ -19,8 +19,8 @@ UNTIL, AT = "20240120120000", "20240120140000"
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles rounded, for comparison with another engine."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Doubles rounded, and zero without a sign, for comparison with another engine."""
+    return df.withColumns({c: F.when(F.round(c, 6) == 0, F.lit(0.0)).otherwise(F.round(c, 6)) for c in columns})
 
 
 def time_filter_days(spark, d):
