@@ -116,6 +116,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, row_block: int = 65_
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.withColumn("qb", deal(q)).withColumn("rb", each(d))
     right = rows.withColumn("rb", deal(d)).withColumn("qb", each(q))
+    # few bytes but much work a group: a number of its own keeps adaptive execution from merging the partitions
+    left, right = (x.repartition(min(2 * d * q, 20_000), "qb", "rb") for x in (left, right))
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_answer(k), FOUND)
     best = W.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "query_code", "rank", "neighbor_id", "distance")
