@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A worker remembers the chunks of a young generation until there are so many, and then of an old one (about 200 MB).
-REMEMBERED = 400_000
+#: A worker remembers the chunks of a young generation until there are so many, and then of an old one (at most about 150 MB).
+REMEMBERED = 300_000
 LONG_CHUNK = 80
+#: Texts that are cut up at once; what that takes is about ten times as much.
+SLICE_BYTES = 8_000_000
 SPACES = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()]
 
 
@@ -67,28 +69,23 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of each of these chunks. They are joined again to encode many in one call, as they would stand in a
-        text, and the ids are told apart by the bytes or the places they stand for."""
-        out: dict[str, bytes] = {}
-        glue, width = "" if self.rule == "lead" else " ", self.kind.itemsize
-        blocks = [chunks[i : i + 1024] for i in range(0, len(chunks), 1024)]
-        texts = [glue.join(block) for block in blocks]
-        if self.rule == "lead":
-            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        else:
-            encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        for block, e in zip(blocks, encoded, strict=True):
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these chunks (none holds a space). They are joined again to encode many in one call, as
+        they would stand in a text, and the ids are told apart by the bytes or the places they stand for."""
+        out: list[bytes] = []
+        lead, width = self.rule == "lead", self.kind.itemsize
+        blocks = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
+        texts = [" " * lead + " ".join(block) for block in blocks]
+        for block, text, e in zip(blocks, texts, (self.tokenizer.encode_batch_fast if lead else self.tokenizer.encode_batch)(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
-            if self.rule == "lead":
-                after = np.cumsum(self.token_bytes[ids])
-                ends = np.searchsorted(after, np.cumsum([0, *(len(c.encode()) for c in block)]), side="right")
-                ends[0] = 0
+            if lead:  # a chunk begins at each space
+                ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.nonzero(np.frombuffer(text.encode(), np.uint8) == 32)[0], side="right")
             else:
                 places = np.fromiter((x for x, _ in e.offsets), np.int64, len(ids))
-                ends = np.searchsorted(places, np.cumsum([0, *(len(c) + 1 for c in block)]))
-            flat, ends = ids.astype(self.kind).tobytes(), (ends * width).tolist()
-            out.update(zip(block, [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
+                ends = np.searchsorted(places, np.cumsum(np.fromiter(map(len, block), np.int64, len(block)) + 1))
+                ends = np.r_[0, ends[:-1]]
+            flat, ends = ids.astype(self.kind).tobytes(), [*(ends * width).tolist(), len(ids) * width]
+            out += [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
         return out
 
     def _alone(self, chunks: list[str]) -> list[bytes]:
@@ -96,25 +93,32 @@ class Encoder:
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of these distinct chunks, from memory or learned now."""
-        young, old, new = self.young, self.old, []
-        for c in chunks:
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
+        young, old = self.young, self.old
+        new = [c for c in chunks if c not in young]
+        if old:
+            found = [c for c in new if c in old]
+            young.update(zip(found, map(old.__getitem__, found), strict=True))
+            new = [c for c in new if c not in old]
         for i in range(0, len(new), 65_536):
-            young |= self._learn(new[i : i + 65_536])
-        out = [young[c] for c in chunks]
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
+            part = new[i : i + 65_536]
+            young.update(zip(part, self._learn(part), strict=True))
+        out = list(map(young.__getitem__, chunks))
         for c in new:
             if len(c) > LONG_CHUNK:
                 del young[c]
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's begin (with the end of the last); null is empty."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SLICE_BYTES, ends[-1] if len(ends) else 0, SLICE_BYTES), side="right"), len(texts)])
+        parts = [self._slice_ids(texts[i:j]) for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)] or [self._slice_ids(texts)]
+        base = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([*(b + e[:-1] for b, (_, e) in zip(base, parts, strict=False)), base[-1:]])
+
+    def _slice_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = lambda t: np.frombuffer(self._whole(t), self.kind)
         if self.rule == "whole" or not len(texts):
             each = [whole(t or "") for t in texts.to_pylist()]
@@ -122,7 +126,7 @@ class Encoder:
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         begins = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        at, words = coded.indices.to_numpy().astype(np.int32), coded.dictionary
         odd = np.zeros(len(texts), bool)
         if self.rule == "lead":
             spaces = pa.array(SPACES, words.type)
@@ -134,21 +138,26 @@ class Encoder:
             after[begins[1:] - 1] = False
             odd = np.logical_or.reduceat(empty | before | after, begins[:-1])
             firsts, inverse = np.unique(at[begins[:-1]], return_inverse=True)
-            names = words.to_pylist()
-            led = [" " + c for c in names]
-            safe = iter(self._known([c for c, p in zip(led, plain, strict=True) if p]))
-            rest = iter(self._alone([c for c, p in zip(led, plain, strict=True) if not p]))  # last in their texts, or in odd ones
-            table = [next(safe if p else rest) for p in plain] + self._alone([names[i] for i in firsts])
-            at[begins[:-1]] = len(names) + inverse
+            first_words = words.take(pa.array(firsts)).to_pylist()
+            rest = np.nonzero(~plain)[0]  # last in their texts, first, or in odd ones
+            if len(rest):
+                table = self._known(words.filter(pa.array(plain)).to_pylist())
+                for k, ids in zip(rest.tolist(), self._alone([" " + c for c in words.take(pa.array(rest)).to_pylist()]), strict=True):
+                    table.insert(k, ids)
+            else:
+                table = self._known(words.to_pylist())
+            table += self._alone(first_words)
+            at[begins[:-1]] = len(words) + inverse
         else:
             table = self._known(words.to_pylist())
         width = self.kind.itemsize
-        size = np.fromiter(map(len, table), np.int64, len(table)) // width
-        flat, start = np.frombuffer(b"".join(table), self.kind), np.cumsum(size) - size
+        size = np.fromiter(map(len, table), np.int32, len(table)) // width
+        flat, start = np.frombuffer(b"".join(table), self.kind), np.cumsum(size, dtype=np.int64) - size
         each = size[at]
-        from_ = np.repeat(start[at] - (np.cumsum(each) - each), each)
-        ids = flat[from_ + np.arange(len(from_))]
-        ends = np.r_[0, np.cumsum(each)][begins]
+        upto = np.r_[0, np.cumsum(each, dtype=np.int64)]
+        place = np.repeat(start[at] - upto[:-1], each)
+        place += np.arange(len(place))
+        ids, ends = flat[place], upto[begins]
         if odd.any():
             some = [whole(t or "") if o else ids[i:j] for t, o, i, j in zip(texts.to_pylist(), odd, ends, ends[1:], strict=False)]
             return np.concatenate(some), np.cumsum([0, *map(len, some)])

@@ -183,8 +183,8 @@ def _writer(spec, shard_tokens: int):
 
         held = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 8192):
+                some = batch.slice(k, 8192)
                 flat, ends = encoder(spec.value).ids(some["text"])
                 for d, i, j in zip(some["doc_id"].to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
                     ids += [flat[i:j], np.array([END_ID], flat.dtype)]
