@@ -119,6 +119,18 @@ FROM samples s, range(7) t(j), range(6) u(i), long l WHERE l.cell = s.cell AND l
   round(avg(abs(y - f) / nullif(abs(y), 0)), 6) AS mape, count(nullif(abs(y), 0)) AS n_mape, round(avg(2 * abs(y - f) / nullif(abs(y) + abs(f), 0)), 6) AS smape, count(nullif(abs(y) + abs(f), 0)) AS n_smape
 FROM e, (SELECT avg(y) AS m FROM e)""",
     "amplify": f"WITH {RAW} SELECT event_id, c::INTEGER AS copy FROM raw, range(3) t(c) WHERE cell = 4",
+    "table_round_trip": f"WITH {SCALED} SELECT cell, ts, round(value::FLOAT::DOUBLE, 4) AS value, round(k::FLOAT::DOUBLE, 4) AS k FROM scaled",
+    "ranges_round_trip": f"WITH {RANGES} SELECT 'value' AS feature, round(v0, 6) AS min, round(v1, 6) AS max FROM ranges UNION ALL SELECT 'k', round(k0, 6), round(k1, 6) FROM ranges",
+    "weights_round_trip": _PREDICT,
+    "predictions_round_trip": _PREDICT,
+    "latest_run_folder": "SELECT '20240102-01' AS run",
+    "stream_features": f"""WITH {_FILLED_LONG}, steps AS (
+  SELECT cell, ts FROM filled WHERE hour(ts) BETWEEN 12 AND 19 AND ts::DATE >= DATE '2024-01-08'
+), x AS (SELECT a.cell, a.ts, sum(v) AS s FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts BETWEEN a.ts - INTERVAL 4 HOUR AND a.ts GROUP BY ALL
+), m AS (
+  SELECT a.cell, a.ts, sum(v) AS s FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts::DATE BETWEEN a.ts::DATE - 7 AND a.ts::DATE - 1 AND hour(fl.ts) BETWEEN hour(a.ts) - 4 AND hour(a.ts) + 1 GROUP BY ALL
+) SELECT x.cell, epoch(x.ts)::BIGINT AS "at", round(x.s, 6) AS sum_x, round(m.s, 6) AS sum_m FROM x JOIN m ON x.cell = m.cell AND x.ts = m.ts""",
+    "stream_means": f"WITH {RAW} SELECT cell, slot AS ts, round(avg(value), 6) AS value, round(avg(k), 6) AS k FROM raw GROUP BY cell, slot HAVING slot + INTERVAL 1 HOUR <= (SELECT max(ts) FROM raw) - INTERVAL 10 MINUTE",
     "asof_inputs": _INPUTS,
     "queue_advance": _INPUTS,
     "asof_memory": _MEMORY,

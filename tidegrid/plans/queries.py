@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.datetimes import before_days, move_minutes, parse_text, snap, text_time_filter, time_filter
 from ..operators import asof, metrics, model, scaling, split, timegrid, train, windows
 from ..profile import EVENT_CELLS, EVENTS, KPI_RANGES, Profile
+from ..sources import files
+from ..streaming.queues import live_features, live_step_means
 from . import events as ev
 from .oracle import SQL
 
@@ -235,6 +239,64 @@ def asof_pairs(spark, d):
     return q.select("cell", F.size("x").alias("n_x"), F.size(F.flatten("m")).alias("n_m"))
 
 
+def table_round_trip(spark, d):
+    """The scaled grid written as CSV in table order and read back with its fixed schema of 32-bit floats."""
+    path = files.scratch(spark, "table")
+    files.write_table(ev.scaled(spark, d), path, P)
+    return files.read_table(spark, path, P).select("cell", "ts", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in P.features])
+
+
+def ranges_round_trip(spark, d):
+    path = files.scratch(spark, "ranges")
+    files.write_ranges(scaling.value_range(ev.filled(spark, d), P.features), path)
+    return _r(files.read_ranges(spark, path), "min", "max")
+
+
+def weights_round_trip(spark, d):
+    """Forecasts with weights that were saved and restored."""
+    path = files.scratch(spark, "weights")
+    model.save_weights(spark, model.fixed_weights(P, HIDDEN), path)
+    out = model.predict(_samples(spark, d), model.load_weights(spark, path), P)
+    return _r(out.select("cell", "dt", F.posexplode("pred").alias("feature", "value")), "value")
+
+
+def predictions_round_trip(spark, d):
+    path = files.scratch(spark, "predictions")
+    files.write_predictions(_forecasts(spark, d), path, P)
+    return _r(spark.read.parquet(path).select("cell", "dt", F.posexplode("pred").alias("feature", "value")), "value")
+
+
+def latest_run_folder(spark, d):
+    base = files.scratch(spark, "runs")
+    for day in (date(2024, 1, 2), date(2024, 1, 1), date(2024, 1, 2)):
+        files.new_run(spark, base, day)
+    return spark.createDataFrame([(files.latest_run(spark, base).rpartition("/")[2],)], "run string")
+
+
+def stream_features(spark, d):
+    """The as-of features of every step of the filled grid, made by the stateful stream; in sums, to compare them."""
+    path = files.scratch(spark, "stream")
+    grid = ev.filled(spark, d)
+    grid.write.parquet(f"{path}/in")
+    live = live_features(spark.readStream.schema(grid.schema).parquet(f"{path}/in"), P)
+    q = live.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    q.awaitTermination()
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    out = spark.read.parquet(f"{path}/out").select("cell", "at", total(F.flatten("x")).alias("sum_x"), total(F.flatten(F.flatten("m"))).alias("sum_m"))
+    return _r(out, "sum_x", "sum_m")
+
+
+def stream_means(spark, d):
+    """Step means as a stream gives them out: those that the watermark has passed when the input ends."""
+    path = files.scratch(spark, "means")
+    rows = ev.raw(spark, d).select("cell", "ts", *P.features)
+    rows.write.parquet(f"{path}/in")
+    live = live_step_means(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), P)
+    q = live.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    q.awaitTermination()
+    return _r(spark.read.parquet(f"{path}/out"), *P.features)
+
+
 def train_history(spark, d):
     """Losses of a short training run; no SQL form."""
     done = train.train(_parts(spark, d), P, HIDDEN, epochs=3)
@@ -245,6 +307,7 @@ _LIST = (
     time_filter_days, time_filter_exact, text_times, cell_in_filter, cell_ordinal, dedup_last, union_rows, spine_hours, spine_fine, spine_left_join,
     resample_mean, gap_fill, min_max_range, scale_global, scale_const, unscale, unscale_vectors, windows_positional, targets_positional, memory_positional,
     windows_per_day, targets_per_day, windows_foresight, memory_per_day, memory_by_time, last_days_tensor, split_time, split_tail, split_dev_exact,
-    ar_head, predict, predict_native, forecast_errors, amplify, asof_inputs, asof_memory, queue_advance, memory_advance, asof_pairs, train_history,
+    ar_head, predict, predict_native, forecast_errors, amplify, asof_inputs, asof_memory, queue_advance, memory_advance, asof_pairs,
+    table_round_trip, ranges_round_trip, weights_round_trip, predictions_round_trip, latest_run_folder, stream_features, stream_means, train_history,
 )
 QUERIES = {f.__name__: f for f in _LIST}

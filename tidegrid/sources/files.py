@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from datetime import date
 
@@ -120,3 +122,9 @@ def new_run(spark: SparkSession, base: str, day: date) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     return out
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that executors share (spark.checkpoint.dir), or in a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
