@@ -57,6 +57,8 @@ def test_language_edges(spark, documents, crf):
     assert [by[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und"] * 4 and by[1]["score"] == 0
     assert by[5]["lang_pred"] == by[6]["lang_pred"] == "en" and by[None]["lang_pred"] == "de"
     assert lg.predict(documents(rows[:0]), crf).count() == 0
+    named = documents(rows).withColumns({"guess": F.lit(1), "score": F.lit("x")})
+    assert lg.predict(named, crf).columns == [*documents(rows).columns, "guess", "lang_pred", "score"]
     nothing = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
     assert lg.train(nothing) is None
     assert {r["lang_pred"] for r in lg.predict(documents(rows), None).collect()} == {"und"}

@@ -1,5 +1,7 @@
 """The pipeline against a plain version of every stage on its predecessor's rows."""
 
+import os
+
 import public_tokenizers
 import pytest
 
@@ -8,7 +10,7 @@ import corpus_pipeline as cp
 from tests.llm import test_lines, test_rules, test_simhash, test_tokens
 from tests.oracle import DATA
 from tidegrid.llm import line_dedup, mixing, quality_rules, registry
-from tidegrid.llm.common import durable, table
+from tidegrid.llm.common import drop_durable, durable, table
 
 
 def pairs(df):
@@ -57,6 +59,14 @@ def test_edges(spark, documents):
     assert cp.pack(spark, empty, DATA).count() == 0
 
 
+def test_durable_tables_go(spark, documents):
+    d = durable(documents([(1, "a")]), "t")
+    folder = d.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    drop_durable(spark)
+    assert not os.path.exists(folder)
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.QUERIES) | {"pipeline"} <= set(e.queries()) and set(registry.SQL) <= set(registry.QUERIES)

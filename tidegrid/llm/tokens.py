@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A worker remembers the chunks of a young generation until there are so many, and then of an old one (at most about 150 MB).
-REMEMBERED = 300_000
+#: A worker remembers the chunks of a young generation until there are so many, and then of an old one (at most about 170 MB).
+REMEMBERED = 400_000
 LONG_CHUNK = 80
 #: Texts that are cut up at once; what that takes is about ten times as much.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 16_000_000
 SPACES = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()]
 
 
@@ -46,6 +46,10 @@ def _rule(spec: dict) -> str:
     return "whole"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+
+
 class Encoder:
     """ids(texts) -> one array of token ids a text (no special tokens are added or recognised)."""
 
@@ -141,15 +145,15 @@ class Encoder:
             first_words = words.take(pa.array(firsts)).to_pylist()
             rest = np.nonzero(~plain)[0]  # last in their texts, first, or in odd ones
             if len(rest):
-                table = self._known(words.filter(pa.array(plain)).to_pylist())
+                table = self._known(_strings(words.filter(pa.array(plain))))
                 for k, ids in zip(rest.tolist(), self._alone([" " + c for c in words.take(pa.array(rest)).to_pylist()]), strict=True):
                     table.insert(k, ids)
             else:
-                table = self._known(words.to_pylist())
+                table = self._known(_strings(words))
             table += self._alone(first_words)
             at[begins[:-1]] = len(words) + inverse
         else:
-            table = self._known(words.to_pylist())
+            table = self._known(_strings(words))
         width = self.kind.itemsize
         size = np.fromiter(map(len, table), np.int32, len(table)) // width
         flat, start = np.frombuffer(b"".join(table), self.kind), np.cumsum(size, dtype=np.int64) - size

@@ -2,8 +2,9 @@
 
 A shard holds consecutive documents (ascending doc_id) of about `shard_tokens` ids, as one byte string:
 
-    header   magic TGWM, version, number of ids n, documents, bits, superblock size           (little-endian, HEADER)
+    header   magic TGWM, version, number of ids n, documents, bits, superblock size, alphabet  (little-endian, HEADER)
     docs     doc_id of each document (int64), first id of each document and n (uint64)
+    alphabet the distinct ids of the shard, ascending (uint32); planes hold places in it, in as few bits as they need
     zeros    for each bit plane, how many of its bits are 0 (uint64)
     planes   for each bit from the highest: the n bits of all ids in that plane's order, packed, zero-padded to 8 bytes
     ranks    for each plane: how many 1s stand before every superblock (uint32)
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import durable, table
 from .tokens import encoder, load
 
-MAGIC, VERSION, SUPERBLOCK = b"TGWM", 1, 512
-HEADER = "<4sIQIII"
+MAGIC, VERSION, SUPERBLOCK = b"TGWM", 2, 512
+HEADER = "<4sIQIIII"
 END_ID = 0
 ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
@@ -40,8 +41,11 @@ ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
     """The byte form of a shard; starts has one entry more than doc_ids."""
     n = len(ids)
-    bits = max(1, int(ids.max()).bit_length()) if n else 1
-    current = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    there = np.zeros(int(ids.max()) + 1 if n else 1, bool)
+    there[ids] = True
+    alphabet = np.nonzero(there)[0]
+    bits = max(1, (len(alphabet) - 1).bit_length()) if n else 1
+    current = (np.cumsum(there) - 1).astype(np.uint16 if bits <= 16 else np.uint32)[ids]
     zeros, planes, ranks = [], [], []
     for k in range(bits - 1, -1, -1):
         one = (current & current.dtype.type(1 << k)) != 0
@@ -51,19 +55,19 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
         per = np.bitwise_count(blocks).reshape(-1, SUPERBLOCK // 64).sum(axis=1, dtype=np.uint32)
         ranks.append(np.r_[np.uint32(0), np.cumsum(per, dtype=np.uint32)].astype("<u4").tobytes())
         planes.append(packed.tobytes())
-        low, high = current[~one], current[one]
+        low, high = np.compress(~one, current), np.compress(one, current)
         zeros.append(len(low))
         if k:
             current = np.concatenate([low, high])
-    head = struct.pack(HEADER, MAGIC, VERSION, n, len(doc_ids), bits, SUPERBLOCK)
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), *planes, *ranks])
+    head = struct.pack(HEADER, MAGIC, VERSION, n, len(doc_ids), bits, SUPERBLOCK, len(alphabet))
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *planes, *ranks])
 
 
 class Shard:
     """Access to one shard without decoding it."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.n, docs, self.bits, self.block = struct.unpack_from(HEADER, data)
+        magic, version, self.n, docs, self.bits, self.block, letters = struct.unpack_from(HEADER, data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token shard of this version")
         at = struct.calcsize(HEADER)
@@ -75,6 +79,7 @@ class Shard:
             return out
 
         self.doc_ids, self.starts = take("<i8", docs), take("<u8", docs + 1).astype(np.int64)
+        self.alphabet = take("<u4", letters)
         self.zeros = take("<u8", self.bits).astype(np.int64).tolist()
         size = -(-self.n // 64) * 8
         self.planes = [take("u1", size) for _ in range(self.bits)]
@@ -97,10 +102,15 @@ class Shard:
             before = self._ones(p, i)
             i = self.zeros[p] + before if one else i - before
             value = value << 1 | one
-        return value
+        return int(self.alphabet[value])
+
+    def _letter(self, token: int) -> int | None:
+        """The token's place in the alphabet."""
+        at = int(np.searchsorted(self.alphabet, token)) if token >= 0 else 0
+        return at if at < len(self.alphabet) and self.alphabet[at] == token and self.n else None
 
     def _range(self, token: int, i: int, j: int) -> tuple[int, int]:
-        """Where the token's occurrences among positions [i, j) end up below the last plane."""
+        """Where the occurrences of an alphabet place among positions [i, j) end up below the last plane."""
         for p in range(self.bits):
             a, b = self._ones(p, i), self._ones(p, j)
             i, j = (self.zeros[p] + a, self.zeros[p] + b) if token >> self.bits - 1 - p & 1 else (i - a, j - b)
@@ -108,9 +118,10 @@ class Shard:
 
     def count(self, token: int, i: int = 0, j: int | None = None) -> int:
         """Occurrences of a token among positions [i, j)."""
-        if token < 0 or token >> self.bits:
+        letter = self._letter(token)
+        if letter is None:
             return 0
-        a, b = self._range(token, i, self.n if j is None else j)
+        a, b = self._range(letter, i, self.n if j is None else j)
         return b - a
 
     def _select(self, plane: int, one: bool, k: int) -> int:
@@ -125,9 +136,10 @@ class Shard:
         """Position of the token's k-th occurrence (from 0)."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        i = self._range(token, 0, 0)[0] + k
+        letter = self._letter(token)
+        i = self._range(letter, 0, 0)[0] + k
         for p in range(self.bits - 1, -1, -1):
-            one = bool(token >> self.bits - 1 - p & 1)
+            one = bool(letter >> self.bits - 1 - p & 1)
             i = self._select(p, one, i - self.zeros[p] if one else i)
         return i
 
@@ -140,10 +152,10 @@ class Shard:
         for p in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(value)
-            back[~one] = value[: self.zeros[p]]
-            back[one] = value[self.zeros[p] :] | value.dtype.type(1 << self.bits - 1 - p)
+            back[np.flatnonzero(~one)] = value[: self.zeros[p]]
+            back[np.flatnonzero(one)] = value[self.zeros[p] :] | value.dtype.type(1 << self.bits - 1 - p)
             value = back
-        return value
+        return self.alphabet[value]
 
     def document(self, d: int) -> np.ndarray:
         """The ids of one document, by position."""
@@ -155,7 +167,7 @@ class Shard:
             before = np.fromiter((self._ones(p, int(x)) for x in i), np.int64, len(i))
             i = np.where(one, self.zeros[p] + before, i - before)
             value = value << 1 | one
-        return value
+        return self.alphabet[value]
 
 
 read_shard = Shard
@@ -217,7 +229,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, seq, data in zip(*(batch[c] for c in ("part", "seq", "data")), strict=True):
             s = Shard(data.as_buffer())
-            ids = s.decode().astype("<u4")
+            ids = s.decode()
             starts = s.starts
             crcs = [zlib.crc32(ids[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             n = len(crcs)
