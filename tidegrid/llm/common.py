@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_made: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,16 +40,16 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     nothing that was finished, and what follows scans columns instead of repeating the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_durable(df: DataFrame) -> None:
-    """Deletes the files of a table made by durable() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def drop_durable(spark: SparkSession) -> None:
+    """Deletes all tables that durable() made in this process, once nothing reads them any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -94,8 +96,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             ).distinct()
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def null_safe(values: Iterable) -> list[str]:
-    """Arrow strings as Python strings, null as empty."""
-    return [x if x is not None else "" for x in values]

@@ -229,7 +229,7 @@ def label_words(model: Crf, texts: list[str | None]) -> tuple[list[list[str]], l
 
 
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """docs + lang_pred, score. `und` with score 0 for a null text, one without a letter, or without a model; of equal
+    """docs + lang_pred, score (in place of columns of these names). `und` with score 0 for a null text, one without a letter, or without a model; of equal
     shares the first language by name wins. Long texts are read whole."""
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.transitions, model.first, model.lexicon) if model else None)
@@ -256,7 +256,9 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
                     scores.append(0.0)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("guess", guess.asNondeterministic()("text")).select(*docs.columns, "guess.lang_pred", "guess.score")
+    d = docs.select(F.struct("*").alias("row"), guess.asNondeterministic()("text").alias("guess"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return d.select(*own, "guess.lang_pred", "guess.score")
 
 
 def op3_language(spark, sf_dir):
