@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.datetimes import parse_text
+from ..operators.split import replicate
 from ..operators.timegrid import keep_last
 from ..profile import Profile
 
@@ -128,3 +129,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that executors share (spark.checkpoint.dir), or in a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegrid-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_samples(samples: DataFrame, path: str, times: int = 1) -> None:
+    """Samples, each so many times, as array columns."""
+    (replicate(samples, times) if times > 1 else samples).write.mode("overwrite").parquet(path)
