@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import table, training_fold
+from .common import give_back, table, training_fold
 
 #: Fixed by the data contract.
 SYMBOLS = b"#*$%&|<>"
@@ -67,6 +67,7 @@ def count_text(text: bytes) -> tuple[int, ...]:
 def text_counts(texts: pa.Array) -> pa.Array:
     rows = [count_text(t.as_py() or b"") for t in texts.cast(pa.binary())]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(COUNTS)
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(COUNTS))
 
 

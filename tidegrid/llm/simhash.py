@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import components, durable, table
+from .common import components, durable, give_back, table
 
 SHINGLE_WORDS, SEED, MAX_DISTANCE = 3, 42, 2
 MIN_SHARED_BYTES = 8 - MAX_DISTANCE
@@ -61,6 +61,7 @@ def fingerprint_of(text: bytes) -> int:
 @arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     values = np.array([fingerprint_of(t.as_py() or b"") for t in texts.cast(pa.binary())], np.uint64)
+    give_back()
     return pa.array(values.view(np.int64))
 
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: A worker remembers the chunks of a young generation until there are so many, and then of an old one (at most about 170 MB).
 REMEMBERED = 400_000
 LONG_CHUNK = 80
@@ -118,7 +120,11 @@ class Encoder:
         """All ids of the texts in one array, and where each text's begin (with the end of the last); null is empty."""
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SLICE_BYTES, ends[-1] if len(ends) else 0, SLICE_BYTES), side="right"), len(texts)])
-        parts = [self._slice_ids(texts[i:j]) for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)] or [self._slice_ids(texts)]
+        parts = []
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            parts.append(self._slice_ids(texts[i:j]))
+            give_back()
+        parts = parts or [self._slice_ids(texts)]
         base = np.cumsum([0, *(len(ids) for ids, _ in parts)])
         return np.concatenate([ids for ids, _ in parts]), np.concatenate([*(b + e[:-1] for b, (_, e) in zip(base, parts, strict=False)), base[-1:]])
 
