@@ -78,8 +78,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for every node that has an edge to another.
 
     Alternating large-star and small-star contraction. Each half round is a map-side combined minimum joined back to
-    the edges, so a node with very many edges is pre-aggregated and its join partition can be split; no task and no
-    driver ever holds a component. Each round ends in a checkpoint in the shared folder."""
+    the edges. Minima and edges are checkpoints in the shared folder: a join between two exchanges, whose partitions
+    adaptive execution can split where a node has very many edges. No task and no driver ever holds a component."""
     shared_dir(edges.sparkSession)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -87,7 +87,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).checkpoint()
         joined = both.join(least, F.col("u") == F.col("k"))
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

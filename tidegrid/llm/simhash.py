@@ -84,7 +84,8 @@ def links(nodes: DataFrame, list_bound: int = 32) -> DataFrame:
     lane = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
     terms = [F.struct(F.lit(c).alias("c"), (F.shiftleft(lane(i), 16) + lane(j)).alias("content")) for c, (i, j) in enumerate(combinations(range(LANES), 2))]
     postings = nodes.select("fp", F.explode(F.array(*terms)).alias("t")).select(F.col("t.c").alias("c"), F.col("t.content").alias("content"), "fp")
-    sizes = postings.groupBy("c", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # counts are written before they are joined back, so that the join is between exchanges and can be split
+    sizes = durable(postings.groupBy("c", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
     listed = durable(postings.join(sizes, ["c", "content"]), "simhash-lists")
     short, long = listed.filter(F.col("n") <= list_bound), listed.filter(F.col("n") > list_bound)
     a, b = short.select("c", "content", F.col("fp").alias("u")), short.select("c", "content", F.col("fp").alias("v"))
@@ -106,8 +107,8 @@ def grouped(marked: DataFrame) -> DataFrame:
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = durable(nodes, "simhash-nodes")
     found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = durable(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    ids = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp")
 
 
