@@ -17,13 +17,26 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _made: list[str] = []
 
 
+#: Rows of texts that go to a Python worker at once, unless the session says otherwise than Spark's default of 10,000: on
+#: either side of the pipe a batch and its copies are held outside the heap.
+BATCH_ROWS = 4000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where that is
     unset (tests, one machine) a temporary folder is made and set."""
+    _small_batches(spark)
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:

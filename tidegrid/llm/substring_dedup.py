@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import durable, table
+from .common import durable, give_back, table
 
 WIDTH, GRAM, HOT = 50, 8, 512
 LAST = (1 << 63) - 1
@@ -133,6 +133,7 @@ def _anchors_of(texts: pa.Array) -> pa.Array:
         words = (t.as_py() or b"").split()
         counts.append(len(words))
         lists.append(np.unique(anchors(word_hashes(words), WIDTH)).view(np.int64) if len(words) >= WIDTH else ())
+    give_back()
     return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["n", "fps"])
 
 
@@ -170,15 +171,16 @@ def _pieces(most_windows: int = 512):
                         if wide is None:
                             wide = [_rolling(x, WIDTH, m).view(np.int64) for x, m in ((hashes, 0xD6E8FEB86659FD93), (_mixed(hashes), 0xA0761D6478BD642F))]
                         rows += [(None, order, h, k, None, int(wide[0][k]), int(wide[1][k])) for k in range(i, j)]
-                        held += 60 * (j - i)
+                        held += 200 * (j - i)
                     else:
                         for k in range(i, j, most_windows):
                             content = b" ".join(words[k : min(j, k + most_windows) + WIDTH - 1])
                             rows.append((int(low[i].view(np.int64)), order, h, k, content, None, None))
-                            held += len(content) + 60
+                            held += len(content) + 200
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
+                    give_back()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -225,18 +227,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(LAST)).alias("ord")
     h, h2 = F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2")
     found = durable(docs.filter(F.col("text").isNotNull()).select(order, h, h2, _anchors_of("text").alias("x")).select("ord", "h", "h2", "x.n", "x.fps").filter(F.col("n") >= WIDTH), "anchors")
-    first = found.groupBy("h", "h2").agg(F.min("ord").alias("first"))
+    # What is joined back to the rows that it was counted from is written first: only then is the join one between
+    # exchanges, whose large partitions (a third of all rows may share a key) adaptive execution can split.
+    first = durable(found.groupBy("h", "h2").agg(F.min("ord").alias("first")), "first-copies")
     classed = found.join(first, ["h", "h2"])
     copies = classed.filter("ord > first").select("ord", "h", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
     own = classed.filter("ord = first").select("ord", "h", F.explode("fps").alias("fp"))
     shared = own.groupBy("fp").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("fp", (F.col("n") > HOT).alias("hot"))
+    shared = durable(shared, "shared-anchors")
     wanted = own.join(shared, "fp").distinct().groupBy("ord", "h").agg(F.collect_list(F.struct("fp", "hot")).alias("w")).select("ord", "h", F.col("w.fp").alias("fps"), F.col("w.hot").alias("hots"))
     texts = docs.select(order, h, "text").join(wanted, ["ord", "h"])
     pieces = durable(texts.mapInArrow(_pieces(), PIECES), "pieces")
     cold = pieces.filter(F.col("fp").isNotNull()).select("fp", "ord", "h", "start", "content")
     matched = cold.repartition("fp").sortWithinPartitions("fp", "ord", "start").mapInArrow(_matched, SPANS)
     windows = pieces.filter(F.col("fp").isNull()).select("a", "b", "ord", "h", "start")
-    earliest = windows.groupBy("a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi")
+    earliest = durable(windows.groupBy("a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi"), "first-windows")
     hot = windows.join(earliest, ["a", "b"]).filter("ord > lo").select("ord", "h", F.col("start").alias("s"), (F.col("start") + WIDTH).alias("e"))
     return matched.union(hot).union(copies).groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
