@@ -61,8 +61,12 @@ def later_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """ord, h, runs: sorted array of (lo, hi), the lines [lo, hi) to delete; only rows with any."""
     found = durable(fingerprints(docs, min_run), "winnow-positions")
     places = found.select("ord", "h", "fp", "place").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
+    # Counts are written before they are joined back to their rows: only a join between exchanges can have its large
+    # partitions split, and a third of all rows may share a line.
+    places = durable(places, "winnow-places")
     hit = durable(found.join(places, "fp").select("ord", "h", "a", "b", "lo", "hi"), "winnow-matches")
     first = hit.groupBy("a", "b").agg(F.min(F.struct("ord", "lo")).alias("first"), F.max(F.struct("ord", "lo")).alias("last")).filter("first != last").drop("last")
+    first = durable(first, "winnow-first")
     later = hit.join(first, ["a", "b"]).filter(F.struct("ord", "lo") > F.col("first")).select("ord", "h", "lo", "hi").distinct()
     by_row = W.partitionBy("ord", "h").orderBy("lo")
     opens = F.when(F.lag("hi").over(by_row) >= F.col("lo"), 0).otherwise(1)
