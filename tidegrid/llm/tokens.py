@@ -105,8 +105,8 @@ class Encoder:
             found = [c for c in new if c in old]
             young.update(zip(found, map(old.__getitem__, found), strict=True))
             new = [c for c in new if c not in old]
-        for i in range(0, len(new), 65_536):
-            part = new[i : i + 65_536]
+        for i in range(0, len(new), 16_384):
+            part = new[i : i + 16_384]
             young.update(zip(part, self._learn(part), strict=True))
         out = list(map(young.__getitem__, chunks))
         for c in new:
@@ -119,7 +119,9 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's begin (with the end of the last); null is empty."""
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SLICE_BYTES, ends[-1] if len(ends) else 0, SLICE_BYTES), side="right"), len(texts)])
+        total = int(ends[-1]) if len(ends) else 0
+        slices = max(1, round(total / SLICE_BYTES))
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(1, slices) * (total / slices), side="right"), len(texts)])
         parts = []
         for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
             parts.append(self._slice_ids(texts[i:j]))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, table
-from .tokens import encoder, load
+from .tokens import SLICE_BYTES, encoder, load
 
 MAGIC, VERSION, SUPERBLOCK = b"TGWM", 2, 512
 HEADER = "<4sIQIIII"
@@ -175,6 +175,18 @@ SHARDS = "part int, seq int, n_docs int, n_tokens long, data binary"
 RECORDS = "doc_id long, part int, seq int, local long, n_tokens long, ids_crc32 long"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `least` bytes: the more texts are encoded at once, the fewer chunks are met twice."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _writer(spec, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,18 +206,16 @@ def _writer(spec, shard_tokens: int):
             return row
 
         held = 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                some = batch.slice(k, 8192)
-                flat, ends = encoder(spec.value).ids(some["text"])
-                for d, i, j in zip(some["doc_id"].to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
-                    ids += [flat[i:j], np.array([END_ID], flat.dtype)]
-                    docs.append(d)
-                    sizes.append(j - i + 1)
-                    held += j - i + 1
-                    if held >= shard_tokens:
-                        yield shard()
-                        held = 0
+        for some in _gathered(batches):
+            flat, ends = encoder(spec.value).ids(some["text"])
+            for d, i, j in zip(some["doc_id"].to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                ids += [flat[i:j], np.array([END_ID], flat.dtype)]
+                docs.append(d)
+                sizes.append(j - i + 1)
+                held += j - i + 1
+                if held >= shard_tokens:
+                    yield shard()
+                    held = 0
         if docs:
             yield shard()
 
