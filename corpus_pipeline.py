@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group stays: fingerprints at 2 bits or less, or 5-word Jaccard of 0.8 or more."""
+    return simhash.keep_one(docs, similar=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import components, durable, give_back, table
+from .similar import similar_groups, sketch
 
 SHINGLE_WORDS, SEED, MAX_DISTANCE = 3, 42, 2
 MIN_SHARED_BYTES = 8 - MAX_DISTANCE
@@ -101,13 +102,17 @@ def links(nodes: DataFrame, list_bound: int = 32) -> DataFrame:
     return pairs.select("u", "v").union(ties)
 
 
-def grouped(marked: DataFrame) -> DataFrame:
+def grouped(marked: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """marked(doc_id, fp, ...) -> + root (a fingerprint that names the group) and component_id (smallest doc_id of the
-    group, null only where all its ids are null)."""
+    group, null only where all its ids are null). With texts(h, text), and h, n and bands in marked, groups that hold
+    similar texts are one."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = durable(nodes, "simhash-nodes")
     found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = durable(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    if texts is not None:
+        more = components(similar_groups(texts, marked.join(rooted.select("fp", "root"), "fp"))).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        rooted = durable(rooted.join(more, "root", "left").select("fp", "least", F.coalesce("new", "root").alias("root")), "simhash-roots")
     ids = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     return marked.join(rooted.select("fp", "root").join(ids, "root"), "fp")
 
@@ -121,13 +126,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last; of several rows with
-    that id, one by text hash). Columns as they were; only ids and hashes are grouped, texts move once."""
+    that id, one by text hash). Columns as they were; only ids and hashes are grouped, texts move once.
+
+    `similar` links texts by 5-word Jaccard similarity of 0.8 or more too, however far their fingerprints are."""
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = durable(docs.select("doc_id", fingerprint("text").alias("fp"), text_hash.alias("h")), "simhash-fp")
+    marks = docs.select("doc_id", fingerprint("text").alias("fp"), text_hash.alias("h"), *[sketch("text").alias("k")] * similar)
+    marked = durable(marks.select("doc_id", "fp", "h", *["k.n", "k.bands"] * similar), "simhash-fp")
+    texts = docs.select(text_hash.alias("h"), F.coalesce("text", F.lit("")).alias("text")) if similar else None
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best")
-    chosen = grouped(marked).groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.h").alias("kh"))
+    chosen = grouped(marked, texts).groupBy("root").agg(best).select(F.col("best.doc_id").alias("k"), F.col("best.h").alias("kh"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), text_hash.alias("h"))
     kept = rows.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")), "left_semi")
     again = durable(marked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("k"), F.col("h").alias("kh")), "simhash-again")
