@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut out of the texts."""
-    return line_dedup.drop_repeated_lines(docs)
+    """Later repeats of runs of 3 lines or more, or of 50 words or more, are cut out of the texts."""
+    return line_dedup.drop_repeated_lines(docs, min_words=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ guaranteed to select the same fingerprints at the same places. Fingerprints that
 there. The others are joined back to their positions, each with the windows that selected it; equal windows extend the
 match from the fingerprint to both sides, and overlapping windows of neighbouring fingerprints join into maximal runs.
 First places are map-side combined minima, so a line, passage or copied document may hold any part of all rows.
+
+With `min_words`, a run of fewer lines is deleted too where it has that many words: windows of one and more such lines,
+below `min_run`, are fingerprinted beside the others.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import WORD, durable, table
 
 MIN_RUN = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -27,28 +30,33 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _selected(lines: Column, min_run: int) -> Column:
-    """Per window: fp (least hash), place (line of it), a and b (two hashes of the window), lo and hi (its lines)."""
-    solid = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), F.struct(i.alias("i"), F.xxhash64(x).alias("h")))), lambda s: s.isNotNull())
-    return F.transform(
-        F.array(solid),  # bound once, then used by name
-        lambda s: F.when(
-            F.size(s) >= min_run,
-            F.transform(
-                F.sequence(F.lit(0), F.size(s) - min_run),
-                lambda k: F.struct(
-                    F.slice(s, k + 1, F.lit(min_run)).alias("w"),
-                    F.try_element_at(s, k + min_run + 1)["i"].alias("next"),
-                ),
+def _selected(lines: Column, min_run: int, min_words: int | None) -> Column:
+    """Per window: w (its lines and their hashes) and next (the line after it that counts)."""
+    words = lambda x: [] if min_words is None else [F.regexp_count(x, F.lit(WORD)).alias("words")]
+    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), *words(x))
+    solid = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), line(x, i))), lambda s: s.isNotNull())
+
+    def windows(s: Column, size: int) -> Column:
+        every = F.transform(
+            F.sequence(F.lit(0), F.size(s) - size),
+            lambda k: F.struct(
+                F.slice(s, k + 1, F.lit(size)).alias("w"),
+                F.try_element_at(s, k + size + 1)["i"].alias("next"),
             ),
-        ),
-    )[0]
+        )
+        if size < min_run:
+            every = F.filter(every, lambda o: F.aggregate(o["w"], F.lit(0), lambda n, x: n + x["words"]) >= min_words)
+        return F.when(F.size(s) >= size, every)
+
+    if min_words is None:
+        return F.transform(F.array(solid), lambda s: windows(s, min_run))[0]  # bound once, then used by name
+    return F.transform(F.array(solid), lambda s: F.flatten(F.filter(F.array(*[windows(s, k) for k in range(1, min_run + 1)]), lambda x: x.isNotNull())))[0]
 
 
-def fingerprints(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def fingerprints(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """ord, h (which row), fp, place, spans (array of a, b, lo, hi: the windows that selected the fingerprint there)."""
     d = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("text").alias("h"), _lines(F.col("text")).alias("lines"))
-    d = d.select("ord", "h", F.size("lines").alias("n"), F.explode(_selected(F.col("lines"), min_run)).alias("one"))
+    d = d.select("ord", "h", F.size("lines").alias("n"), F.explode(_selected(F.col("lines"), min_run, min_words)).alias("one"))
     hashes = F.transform("one.w", lambda x: x["h"])
     d = d.select("ord", "h", "n", F.col("one.w").alias("w"), F.col("one.next").alias("next"), hashes.alias("hs")).withColumn("fp", F.array_min("hs"))
     return d.select(
@@ -57,9 +65,9 @@ def fingerprints(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     )
 
 
-def later_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def later_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """ord, h, runs: sorted array of (lo, hi), the lines [lo, hi) to delete; only rows with any."""
-    found = durable(fingerprints(docs, min_run), "winnow-positions")
+    found = durable(fingerprints(docs, min_run, min_words), "winnow-positions")
     places = found.select("ord", "h", "fp", "place").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
     # Counts are written before they are joined back to their rows: only a join between exchanges can have its large
     # partitions split, and a third of all rows may share a line.
@@ -68,8 +76,9 @@ def later_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     first = hit.groupBy("a", "b").agg(F.min(F.struct("ord", "lo")).alias("first"), F.max(F.struct("ord", "lo")).alias("last")).filter("first != last").drop("last")
     first = durable(first, "winnow-first")
     later = hit.join(first, ["a", "b"]).filter(F.struct("ord", "lo") > F.col("first")).select("ord", "h", "lo", "hi").distinct()
-    by_row = W.partitionBy("ord", "h").orderBy("lo")
-    opens = F.when(F.lag("hi").over(by_row) >= F.col("lo"), 0).otherwise(1)
+    by_row = W.partitionBy("ord", "h").orderBy("lo", "hi")
+    so_far = by_row.rowsBetween(W.unboundedPreceding, -1)  # windows of several sizes: an earlier one may reach further
+    opens = F.when(F.max("hi").over(so_far) >= F.col("lo"), 0).otherwise(1)
     merged = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_row)).groupBy("ord", "h", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return merged.groupBy("ord", "h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
@@ -81,22 +90,22 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k))))
 
 
-def mark(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def mark(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """row (the input's columns, a struct), n_lines, n_removed, kept (the text that stays). One row per input row.
 
     Null text: no lines, kept null. A null doc_id counts as later than any other. Rows that repeat a doc_id never make
     each other later at equal places, so equal rows get equal results. Empty input: empty output."""
     d = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("text").alias("h"))
-    d = d.join(later_runs(docs, min_run), ["ord", "h"], "left")
+    d = d.join(later_runs(docs, min_run, min_words), ["ord", "h"], "left")
     lines, runs = _lines(F.col("row.text")), F.col("runs")
     kept = F.when(runs.isNull(), F.col("row.text")).otherwise(F.array_join(_kept(lines, runs), "\n"))
     removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda s, r: s + r["hi"] - r["lo"]), F.lit(0))
     return d.select("row", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), kept.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """docs with the later runs cut out of text (and n_chars, if there, renewed); other columns as they were."""
-    m = mark(docs, min_run)
+    m = mark(docs, min_run, min_words)
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
