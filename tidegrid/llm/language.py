@@ -45,7 +45,7 @@ def feature_ids(word: str, lexicon: dict[str, int]) -> list[int]:
     """Buckets of a word's affixes (1 to 3), n-grams (2 and 3, with its ends) and the whole word; last its lexicon."""
     w = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)] if len(w) <= 66 else [w[:3], w[-3:]]
+    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
     names.append(w)
     out = [zlib.crc32(x.encode()) % BUCKETS for x in names]
     if word in lexicon:
