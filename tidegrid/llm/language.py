@@ -195,9 +195,12 @@ def training_sequences(rows: list[tuple[int, list[str]]], seed: int = 7) -> list
 
 def train(docs: DataFrame, max_docs: int = 1200, stretch: int = 100, max_langs: int = 200) -> Crf | None:
     """A CRF from docs(doc_id, text, lang): about max_docs / languages documents of each language in the training fold,
-    chosen by hash, `stretch` words of each. None if there is nothing to learn from."""
+    chosen by hash, `stretch` words of each. None if there is nothing to learn from; more than max_langs languages are an
+    error, none is left out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_fold(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} languages in the training fold")
     if not counts:
         return None
     langs, each = sorted(counts), max(1, max_docs // len(counts))
