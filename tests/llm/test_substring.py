@@ -67,14 +67,27 @@ def corpus(seed, n=40):
     return list(zip(ids, texts, strict=True)) + [(i + 1000, texts[i]) for i in range(5)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 512), (2, 1), (3, 3)])
-def test_random_corpora(documents, monkeypatch, seed, hot):
-    """With hot = 1 every shared anchor goes the way of hashed windows, with 512 every one through automata."""
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize("seed,shard", [(1, 512), (2, 1), (3, 3)])
+def test_random_corpora(documents, monkeypatch, seed, shard):
+    """With 1 every shard of two contents is dealt again, down to whole windows; with 512 none is."""
+    monkeypatch.setattr(sd, "SHARD", shard)
     rows = corpus(seed)
     assert ours(documents(rows)) == plain(rows)
 
 
+def test_crowded_passage(documents):
+    """A passage of 70 words in 2,000 different surroundings, and 1,500 near copies of one text: shards of more than SHARD
+    contents at the first level."""
+    rng = random.Random(9)
+    passage, base = [f"p{k}" for k in range(70)], [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join([f"x{rng.random()}" for _ in range(8)] + passage + [f"y{rng.random()}" for _ in range(8)])) for i in range(2000)]
+    for i in range(2000, 3500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"z{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    assert ours(documents(rows)) == plain(rows)
+
+
 def test_edges(documents):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, long), (3, long), (3, long), (4, None), (5, ""), (6, "\t \n"), (7, long + " tail"), (8, "pre " + long), (9, " ".join(long.split()[:49])), (10, "x" * 100_000), (11, long + " other"), (11, "Other " + long)]

@@ -2,17 +2,23 @@
 
 A word goes if it lies in `width` consecutive words that also stand in a document with a smaller doc_id.
 
-Reference shards. The reference of a corpus that is deduplicated against itself is the corpus, so its automata can
-neither be broadcast (they grow with it) nor be streamed past all documents (that is quadratic). Instead both sides are
-dealt by content: every window of `width` words names as its anchor the least hash of its GRAM-word sequences, equal
-windows name equal anchors, and a shard is all text around one anchor. Anchors of one document only are dropped first,
-so what moves is text that may repeat, in pieces of about 90 words. A shard is streamed in doc_id order through one
-suffix automaton: a piece's matching statistics give the maximal spans of `width` words or more that earlier documents
-hold, then the piece itself is added, unless all of it was known. An automaton is bounded by `hot` documents.
-
-An anchor that more than `hot` documents share (a passage or a family of near copies) gets no automaton, whatever its
-size: each of its windows becomes a 128-bit hash, and a map-side combined minimum finds the first document. Exact copies
-are settled before all this by text hash: a copy's every window stands in the first of them.
+Reference shards. The reference of a corpus that is deduplicated against itself is the corpus: its automata grow with the
+rows, so they have no size bound to broadcast under, and every document streamed past every shard would be quadratic work.
+Instead both sides are dealt by content. Every window of `width` words names as its anchor the least hash of its sequences
+of GRAMS[0] words; equal windows name equal anchors, and a shard is all text around one anchor, in pieces of about 90
+words. Anchors of one document only are dropped first, so what moves is text that may repeat.
+
+Pieces are addressed by their content: a piece that an earlier document holds word for word is settled by the least
+doc_id of its content, whatever the number of its copies, and only distinct contents enter a shard. They are streamed in
+doc_id order through the shard's suffix automaton: matching statistics give the maximal spans of `width` words or more
+that earlier contents hold, then the content itself is added. What was found for a content is joined back to its pieces,
+one row a piece.
+
+No shard is large. One with more than SHARD distinct contents (a passage in many surroundings, a family of near copies) is
+dealt again in the same way, its contents taking the place of the documents and anchors being the least hashes of longer
+sequences (GRAMS[1], ...). Surroundings that only one document has then fall into shards of their own and leave; what is
+common becomes equal pieces. At the last length a sequence is a whole window, so a shard is one content. Nothing is left
+out on the way, and a level costs a few rows for each content of the crowded shards only.
 
 For a fixed bounded reference (a benchmark, say) cut_known() broadcasts one automaton and streams all documents past it.
 """
@@ -20,6 +26,7 @@ For a fixed bounded reference (a benchmark, say) cut_known() broadcasts one auto
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +38,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import durable, give_back, table
 
-WIDTH, GRAM, HOT = 50, 8, 512
+WIDTH, GRAMS, SHARD = 50, (8, 32, 47, 50), 512
 LAST = (1 << 63) - 1
 
 
@@ -115,10 +122,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """For every window of `width` words, the least hash of its GRAM-word sequences."""
-    low = _rolling(h, min(GRAM, width), 0x9E3779B97F4A7C15)
-    left, done = width - min(GRAM, width) + 1, 1
+def anchors(h: np.ndarray, width: int, gram: int = GRAMS[0]) -> np.ndarray:
+    """For every window of `width` words, the least hash of its sequences of `gram` words."""
+    gram = min(gram, width)
+    low = _rolling(h, gram, 0x9E3779B97F4A7C15)
+    left, done = width - gram + 1, 1
     while done < left:
         step = min(done, left - done)
         low = np.minimum(low[:-step], low[step:])
@@ -139,87 +147,105 @@ def _anchors_of(texts: pa.Array) -> pa.Array:
 
 _anchors_of = _anchors_of.asNondeterministic()
 
-PIECES = "fp long, ord long, h long, start int, content binary, a long, b long"
-SPANS = "ord long, h long, s int, e int"
+PIECES = "ord long, u long, v long, start int, words int, fp long, c1 long, c2 long, content binary"
+FOUND = "c1 long, c2 long, spans array<struct<s:int,e:int>>"
 
 
-def _pieces(most_windows: int = 512):
-    names = ["fp", "ord", "h", "start", "content", "a", "b"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+def _pieces(gram: int, most_windows: int = 512):
+    """(ord, u, v, text, fps) to pieces: runs of windows with one anchor, `most_windows` at once. fps: the anchors that
+    are wanted, null for all. c1 and c2 are a 128-bit hash of the content."""
+    from xxhash import xxh3_128_digest
+
+    names = ["ord", "u", "v", "start", "words", "fp", "c1", "c2", "content"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            for order, h, text, fps, hots in zip(*(batch[c] for c in ("ord", "h", "text", "fps", "hots")), strict=True):
-                order, h = order.as_py(), h.as_py()
+            for order, u, v, text, fps in zip(*(batch[c] for c in ("ord", "u", "v", "text", "fps")), strict=True):
+                order, u, v = order.as_py(), u.as_py(), v.as_py()
                 words = text.as_buffer().to_pybytes().split()
-                hashes = word_hashes(words)
-                low = anchors(hashes, WIDTH)
-                fps, hots = fps.values.to_numpy().view(np.uint64), hots.values.to_numpy(zero_copy_only=False)
-                by = np.argsort(fps)
-                fps, hots = fps[by], hots[by]
-                at = np.minimum(np.searchsorted(fps, low), len(fps) - 1)
-                shared = fps[at] == low
+                low = anchors(word_hashes(words), WIDTH, gram)
+                shared = np.isin(low, fps.values.to_numpy().view(np.uint64)) if fps.is_valid else np.ones(len(low), bool)
                 begins = np.nonzero(np.r_[True, low[1:] != low[:-1]])[0]
                 ends = np.r_[begins[1:], len(low)]
-                wide = None
-                for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
-                    if not shared[i]:
-                        continue
-                    if hots[at[i]]:
-                        if wide is None:
-                            wide = [_rolling(x, WIDTH, m).view(np.int64) for x, m in ((hashes, 0xD6E8FEB86659FD93), (_mixed(hashes), 0xA0761D6478BD642F))]
-                        rows += [(None, order, h, k, None, int(wide[0][k]), int(wide[1][k])) for k in range(i, j)]
-                        held += 200 * (j - i)
-                    else:
-                        for k in range(i, j, most_windows):
-                            content = b" ".join(words[k : min(j, k + most_windows) + WIDTH - 1])
-                            rows.append((int(low[i].view(np.int64)), order, h, k, content, None, None))
-                            held += len(content) + 200
+                for i, j in zip(begins[shared[begins]].tolist(), ends[shared[begins]].tolist(), strict=True):
+                    for k in range(i, j, most_windows):
+                        own = words[k : min(j, k + most_windows) + WIDTH - 1]
+                        content = b" ".join(own)
+                        c1, c2 = struct.unpack("<qq", xxh3_128_digest(content))
+                        rows.append((order, u, v, k, len(own), int(low[i].view(np.int64)), c1, c2, content))
+                        held += len(content) + 200
                 if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield out()
                     rows, held = [], 0
                     give_back()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield out()
 
     return cut
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces, sorted by (fp, ord, start), to the spans that earlier documents hold."""
-    kinds, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["ord", "h", "s", "e"]
+    """Distinct contents, sorted by (fp, ord), to the spans that contents of earlier documents hold."""
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     fp = order = automaton = None
-    known: dict[bytes, None] = {}  # contents of earlier documents, in order
-    taught = 0  # how many of them the automaton has
-    waiting: list[bytes] = []  # contents of the current document
+    known: list[list[bytes]] = []  # of earlier documents, not taught to the automaton yet
+    waiting: list[list[bytes]] = []  # of the current document
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for f, o, h, start, content in zip(*(batch[c].to_pylist() for c in ("fp", "ord", "h", "start", "content")), strict=True):
+        a, b, spans = [], [], []
+        for f, o, c1, c2, content in zip(*(batch[c].to_pylist() for c in ("fp", "ord", "c1", "c2", "content")), strict=True):
             if f != fp:
-                fp, order, automaton, known, taught, waiting = f, o, None, {}, 0, []
+                fp, order, automaton, known, waiting = f, o, None, [], []
             elif o != order:
-                known.update(dict.fromkeys(waiting))
-                order, waiting = o, []
-            if not known:
-                waiting.append(content)
-                continue
+                order, known, waiting = o, known + waiting, []
             words = content.split()
-            if content in known:
-                out.append((o, h, start, start + len(words)))
-                continue
-            automaton = automaton or SuffixAutomaton()
-            if taught < len(known):
-                for c in list(known)[taught:]:
-                    automaton.add(c.split())
-                taught = len(known)
-            found = automaton.spans(words, WIDTH)
-            out += [(o, h, start + s, start + e) for s, e in found]
-            if found != [(0, len(words))]:
-                waiting.append(content)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            found = None
+            if known or automaton:
+                automaton = automaton or SuffixAutomaton()
+                for w in known:
+                    automaton.add(w)
+                known = []
+                if found := automaton.spans(words, WIDTH):
+                    a.append(c1)
+                    b.append(c2)
+                    spans.append([{"s": s, "e": e} for s, e in found])
+            if found != [(0, len(words))]:  # else the automaton knows all of it
+                waiting.append(words)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(spans, kind)], ["c1", "c2", "spans"])
+
+
+def _held_earlier(units: DataFrame, level: int = 0) -> DataFrame:
+    """u, v, s, e: words [s, e) of a unit that stand in a unit of smaller ord. units: ord, u, v (its name), text, fps."""
+    slim = ["ord", "u", "v", "start", "words", "c1", "c2"]
+    pieces = durable(units.select("ord", "u", "v", F.col("text").cast("binary").alias("text"), "fps").mapInArrow(_pieces(GRAMS[level]), PIECES), f"pieces-{level}")
+    # What is joined back to the rows that it was counted from is written first: only then is the join one between
+    # exchanges, whose large partitions (a third of all rows may share a key) adaptive execution can split.
+    contents = pieces.groupBy("c1", "c2").agg(F.min(F.struct("ord", "u", "v", "start")).alias("first"), F.max("ord").alias("last"), F.first("fp").alias("fp"))
+    contents = durable(contents.select("c1", "c2", "first.*", "last", "fp"), f"contents-{level}")
+    sizes = durable(contents.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"shards-{level}")
+    named = contents.join(sizes, "fp").select("ord", "u", "v", "start", "n")
+    texts = pieces.select("fp", "c1", "c2", "content", "ord", "u", "v", "start").join(named, ["ord", "u", "v", "start"])
+    crowded = level + 1 < len(GRAMS) and not sizes.filter(F.col("n") > SHARD).isEmpty()
+    if crowded:
+        texts = durable(texts, f"texts-{level}")
+    small = texts.filter(F.col("n") <= SHARD) if crowded else texts
+    found = small.select("fp", "ord", "c1", "c2", "content").repartition("fp").sortWithinPartitions("fp", "ord").mapInArrow(_matched, FOUND)
+    if crowded:
+        again = texts.filter(F.col("n") > SHARD).select("ord", F.col("c1").alias("u"), F.col("c2").alias("v"), F.col("content").alias("text"), F.lit(None).cast("array<long>").alias("fps"))
+        deeper = _held_earlier(again, level + 1).groupBy("u", "v").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        found = found.union(deeper.select(F.col("u").alias("c1"), F.col("v").alias("c2"), "spans"))
+    judged = contents.select("c1", "c2", F.col("ord").alias("lo"), "last").join(found, ["c1", "c2"], "left").filter("lo < last OR spans IS NOT NULL").drop("last")
+    judged = durable(judged, f"judged-{level}")
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("words").alias("e")))
+    back = pieces.select(*slim).join(judged, ["c1", "c2"]).select("u", "v", "start", F.when(F.col("ord") > F.col("lo"), whole).otherwise(F.col("spans")).alias("spans"))
+    return back.select("u", "v", "start", F.explode("spans").alias("x")).select("u", "v", (F.col("start") + F.col("x.s")).alias("s"), (F.col("start") + F.col("x.e")).alias("e"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -227,23 +253,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(LAST)).alias("ord")
     h, h2 = F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2")
     found = durable(docs.filter(F.col("text").isNotNull()).select(order, h, h2, _anchors_of("text").alias("x")).select("ord", "h", "h2", "x.n", "x.fps").filter(F.col("n") >= WIDTH), "anchors")
-    # What is joined back to the rows that it was counted from is written first: only then is the join one between
-    # exchanges, whose large partitions (a third of all rows may share a key) adaptive execution can split.
     first = durable(found.groupBy("h", "h2").agg(F.min("ord").alias("first")), "first-copies")
     classed = found.join(first, ["h", "h2"])
     copies = classed.filter("ord > first").select("ord", "h", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
     own = classed.filter("ord = first").select("ord", "h", F.explode("fps").alias("fp"))
-    shared = own.groupBy("fp").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("fp", (F.col("n") > HOT).alias("hot"))
-    shared = durable(shared, "shared-anchors")
-    wanted = own.join(shared, "fp").distinct().groupBy("ord", "h").agg(F.collect_list(F.struct("fp", "hot")).alias("w")).select("ord", "h", F.col("w.fp").alias("fps"), F.col("w.hot").alias("hots"))
-    texts = docs.select(order, h, "text").join(wanted, ["ord", "h"])
-    pieces = durable(texts.mapInArrow(_pieces(), PIECES), "pieces")
-    cold = pieces.filter(F.col("fp").isNotNull()).select("fp", "ord", "h", "start", "content")
-    matched = cold.repartition("fp").sortWithinPartitions("fp", "ord", "start").mapInArrow(_matched, SPANS)
-    windows = pieces.filter(F.col("fp").isNull()).select("a", "b", "ord", "h", "start")
-    earliest = durable(windows.groupBy("a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi"), "first-windows")
-    hot = windows.join(earliest, ["a", "b"]).filter("ord > lo").select("ord", "h", F.col("start").alias("s"), (F.col("start") + WIDTH).alias("e"))
-    return matched.union(hot).union(copies).groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    shared = durable(own.groupBy("fp").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("fp"), "shared-anchors")
+    wanted = own.join(shared, "fp").distinct().groupBy("ord", "h").agg(F.collect_list("fp").alias("fps"))
+    units = docs.select(order, h, "text").join(wanted, ["ord", "h"]).select("ord", F.col("ord").alias("u"), F.col("h").alias("v"), "text", "fps")
+    held = _held_earlier(units).select(F.col("u").alias("ord"), F.col("v").alias("h"), "s", "e")
+    return held.union(copies).groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
