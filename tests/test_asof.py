@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.test_samples import full
 
 from tidegrid.operators import asof, windows
+from tidegrid.operators.resample import step_means
 from tidegrid.profile import Profile
 from tidegrid.streaming.queues import live_features, live_step_means
 
@@ -82,3 +83,19 @@ def test_live_means(spark, tmp_path, late):
     q.awaitTermination(120)
     got = {r["ts"].hour: r["a"] for r in spark.table(f"means_{late}").collect()}
     assert got == ({8: 15.0, 9: 75.0} if late == 5 else {})
+
+
+def test_live_means_equal_batch(spark, tmp_path):
+    """NaN counts as missing, and rows outside the hours, the time span or the base grid are left out, as in step_means."""
+    nan = float("nan")
+    rows = [(0, datetime(2024, 3, 4, 9, 0), nan, 1.0), (0, datetime(2024, 3, 4, 9, 10), 4.0, 2.0), (0, datetime(2024, 3, 4, 9, 0, 3), 99.0, 9.0), (0, datetime(2024, 3, 4, 23), 5.0, 5.0), (0, datetime(2024, 3, 5, 9), 1.0, 1.0), (0, datetime(2024, 3, 11, 9), 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "cell int, ts timestamp_ntz, a double, b double")
+    d.write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        q = live_step_means(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), P, "1 minute").writeStream.format("memory").queryName("means_like_batch").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = sorted(map(tuple, spark.table("means_like_batch").collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == sorted(map(tuple, step_means(d, P).collect())) and got[0][2:] == (4.0, 1.5)

@@ -66,6 +66,26 @@ def test_near_real_time(spark):
     assert row["value"] == pytest.approx([(v + 1) * 1.5e6 for v in row["pred"]])
 
 
+def test_steps_read_in_proportion(spark):
+    """Every step reads the kept queues and its own rows: reads grow with the steps, and none repeats those before it."""
+    p = Profile(**{**P.__dict__, "end": datetime(2024, 3, 9)})
+    w = model.random_weights(p, 4, seed=1)
+    reads = {}
+    for steps in (1, 4):
+        d = files.kept(full(spark, p, 2), "rows")
+        plan = jobs.near_real_time(d, "20240308080000", w, p, steps=steps)._jdf.queryExecution().executedPlan().toString()
+        reads[steps] = plan.count("FileScan")
+    assert reads[1] == 2 and reads[4] == 8
+
+
+def test_last_row_by_order(spark):
+    p = Profile(**{**P.__dict__, "end": datetime(2024, 3, 9)})
+    d = full(spark, p).withColumn("place", F.lit(1))
+    changed = d.filter("ts = timestamp_ntz'2024-03-08 10:00:00'").withColumns({"place": F.lit(2), "cqi": F.col("cqi") - 1000})
+    live = jobs.Live.start(d.union(changed), "20240308090000", p, order=["place"]).advance()
+    assert live.x.first()["queue"][-1][0] == changed.first()["cqi"]
+
+
 def test_infer(spark):
     s = windows.by_time(full(spark, P), P).select("x", "m")
     n = s.count()

@@ -85,3 +85,23 @@ def test_errors_golden(spark):
 
 def test_evaluate(spark):
     assert train.evaluate(samples(spark), model.fixed_weights(P, 4), P).first()["n"] == 24
+
+
+def test_train_on_all_rows(spark):
+    """Slopes summed over partitions are those of all rows at once: the same losses as full batches on arrays."""
+    x, m, y = data(40, 4)
+    rows = [(i, a.tolist(), b.tolist(), [c.tolist()], "train" if i < 30 else "dev") for i, (a, b, c) in enumerate(zip(x, m, y, strict=True))]
+    s = spark.createDataFrame(rows, "cell int, x array<array<double>>, m array<array<array<double>>>, y array<array<double>>, part string").repartition(5)
+    done = train.train(s, P, 3, seed=2, epochs=4, rate=1e-2)
+    want = train.fit((x[:30], m[:30], y[:30]), (x[30:], m[30:], y[30:]), model.random_weights(P, 3, 2), epochs=4, batch=30, rate=1e-2)
+    assert np.allclose(done.history, want.history)
+    assert train.train(s.filter("part = 'dev'"), P, 3, epochs=2).history == []
+
+
+def test_clip():
+    w = model.random_weights(P, 3, seed=1)
+    big = {f.name: np.full_like(getattr(w, f.name), 100.0) for f in fields(w)}
+    clipped, free = train.Adam(), train.Adam(clip=None)
+    clipped.move(w, big)
+    free.move(w, big)
+    assert np.sqrt(sum((v**2).sum() for v in clipped.first.values())) == pytest.approx(0.5) and free.first["out"].max() == pytest.approx(10.0)

@@ -34,6 +34,20 @@ def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [Or(" in plan or "GreaterThanOrEqual(ts" in plan
 
 
+def test_types_and_times_reach_the_scan(spark):
+    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "In(event_type, [error,signup])" in plan("cell_in_filter")
+    assert "GreaterThanOrEqual(ts" in plan("time_filter_exact")
+
+
+def test_plans_build_once(spark):
+    """Errors need one forward pass; splits do not build arrays a second time, nor move them."""
+    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan("forecast_errors").count("MapInArrow") == 1
+    assert "collect_list" not in plan("split_time")
+    assert plan("split_dev_exact").count("events.parquet") == 0
+
+
 def test_gap_fill_sorts_once(spark):
     plan = QUERIES["gap_fill"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") + plan.count("Window(") <= 2

@@ -2,6 +2,7 @@ import json
 from datetime import date, datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators.scaling import value_range
@@ -72,3 +73,33 @@ def test_kv(spark, tmp_path):
     assert list(reader.pushFilters([kv.EqualTo(("evt_dtm",), "20240304080000"), kv.EqualTo(("uniq_id",), 1)]))[0].attribute == ("uniq_id",)
     assert len(reader.partitions()) == 2
     assert d.filter(F.col("evt_dtm").isin("20240304080000", "x")).count() == 6
+
+
+def test_logs_by_name(spark, tmp_path):
+    """Files with their columns in another order, one without a feature, an empty one, a header with a byte order mark."""
+    (tmp_path / "7_1_a.csv").write_text("EVT_DTM,RSRP,CQI\n20240304080000,-61,6\n")
+    (tmp_path / "7_1_b.csv").write_text("EVT_DTM,CQI,RSRP\n20240304080010,7,-62\n")
+    (tmp_path / "7_1_c.csv").write_text("﻿cqi,evt_dtm\n8,20240304080020\n9,20240304080000\n")
+    (tmp_path / "7_1_d.csv").write_text("")
+    (tmp_path / "7_2_a.csv").write_text("EVT_DTM,CQI,RSRP\n20240304080010,1,-1\n")
+    rows = files.read_logs_of(spark, str(tmp_path), [("7", "1"), ("7", "2")], P).orderBy("cell_no", "ts").collect()
+    assert [(r["station"], r["cell_no"], r["ts"].second, r["cqi"], r["rsrp"]) for r in rows] == [("7", "1", 0, 9.0, None), ("7", "1", 10, 7.0, -62.0), ("7", "1", 20, 8.0, None), ("7", "2", 10, 1.0, -1.0)]
+    with pytest.raises(FileNotFoundError):
+        files.read_logs(spark, str(tmp_path), "8", "1", P)
+    (tmp_path / "9_1_a.csv").write_text("TIME,CQI\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_logs(spark, str(tmp_path), "9", "1", P)
+
+
+def test_npy_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([(c, 2 - k, [float(k), float(c)]) for c in (1, 2) for k in range(3)], "cell int, at int, v array<double>")
+    files.write_npy(d, str(tmp_path), "cell", "at", "v")
+    assert np.load(tmp_path / "2.npy").tolist() == [[2.0, 2.0], [1.0, 2.0], [0.0, 2.0]]
+    assert files.read_npy(spark, str(tmp_path)).count() == 6
+
+
+def test_kept_and_log(spark, tmp_path):
+    d = files.kept(spark.range(3), "kept")
+    assert d.count() == 3 and len(d.inputFiles()) >= 1
+    files.write_log(spark, str(tmp_path), ["a", "b"])
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()) == ["a", "b"]

@@ -66,6 +66,13 @@ def time_filter(c: Column, until: str, minutes: int, days: int, date: Column | N
     return out
 
 
+def in_steps(c: Column, until: str, step_minutes: int, days: int) -> Column:
+    """True in the step that starts at `until`, on each of the last `days` days: ranges that a scan can take, where a filter
+    on the step's start (a computed value) reaches none."""
+    at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    return _any([(c >= at(b)) & (c < at(b + timedelta(minutes=step_minutes))) for _, b in _times(until, 0, days)])
+
+
 def snap(c: Column, step_minutes: int) -> Column:
     """The start of the step that holds the time; steps count from midnight."""
     into = (F.hour(c) * 60 + F.minute(c)) % F.lit(step_minutes)

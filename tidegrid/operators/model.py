@@ -71,18 +71,32 @@ def load_weights(spark: SparkSession, path: str) -> Weights:
     return Weights(**{k: np.array([r["value"] for r in v]).reshape(v[0]["shape"]) for k, v in made.items()})
 
 
+def _in_order(terms: Iterator[np.ndarray]) -> np.ndarray:
+    """The sum of the terms, first to last. A matrix product may add in another order for another number of rows, and a
+    forecast would then depend in its last bits on its batch."""
+    total = next(terms)
+    for t in terms:
+        total = total + t
+    return total
+
+
+def _times(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """v (..., i) by w (i, j)."""
+    return _in_order(v[..., i, None] * w[i] for i in range(len(w)))
+
+
 def forward(w: Weights, x: np.ndarray, m: np.ndarray, parts: bool = False):
-    """x (n, x_len, features), m (n, days, m_len, features) -> (n, features)."""
-    a = np.einsum("nif,if->nf", x, w.x_w) + w.x_b
-    r = np.einsum("njif,if->njf", m, w.m_w) + w.m_b
-    q, k = a @ w.query, r @ w.key
+    """x (n, x_len, features), m (n, days, m_len, features) -> (n, features); bit for bit the same in any batch."""
+    a = _in_order(x[:, i] * w.x_w[i] for i in range(len(w.x_w))) + w.x_b
+    r = _in_order(m[:, :, i] * w.m_w[i] for i in range(len(w.m_w))) + w.m_b
+    q, k = _times(a, w.query), _times(r, w.key)
     t = np.tanh(q[:, None] + k + w.bias)
-    s = t @ w.score + w.score_b
+    s = _in_order(t[..., h] * w.score[h] for h in range(len(w.score))) + w.score_b
     e = np.exp(s - s.max(axis=1, keepdims=True))
-    alpha = e / e.sum(axis=1, keepdims=True)
-    context = np.einsum("nj,njh->nh", alpha, k)
+    alpha = e / _in_order(e[:, j, None] for j in range(e.shape[1]))
+    context = _in_order(alpha[:, j, None] * k[:, j] for j in range(k.shape[1]))
     joined = np.concatenate([a, context], axis=1)
-    y = np.tanh(joined @ w.out)
+    y = np.tanh(_times(joined, w.out))
     return (y, a, r, k, t, alpha, joined) if parts else y
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,15 +11,22 @@ from ..profile import Profile
 from .timegrid import align, business_hours, on_base_grid, spine
 
 
+def on_grid(df: DataFrame, p: Profile) -> DataFrame:
+    """The rows that a step's mean is made of: in p's time and business hours, on the base grid."""
+    rows = business_hours(df, p).filter((F.col(p.time) >= F.lit(str(p.start)).cast("timestamp_ntz")) & (F.col(p.time) < F.lit(str(p.end)).cast("timestamp_ntz")))
+    return rows.filter(on_base_grid(F.col(p.time), p.base_seconds)) if p.base_seconds else rows
+
+
+def feature_means(p: Profile) -> list[Column]:
+    """The mean of each feature; NaN counts as missing."""
+    return [F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c) for c in p.features]
+
+
 def step_means(df: DataFrame, p: Profile) -> DataFrame:
-    """Mean of each feature per key and step; NaN counts as missing. Only steps with rows.
+    """Mean of each feature per key and step. Only steps with rows.
 
     Raw rows are averaged (map-side first) before they meet the grid, so the fine base grid is never built."""
-    rows = business_hours(df, p).filter((F.col(p.time) >= F.lit(str(p.start)).cast("timestamp_ntz")) & (F.col(p.time) < F.lit(str(p.end)).cast("timestamp_ntz")))
-    if p.base_seconds:
-        rows = rows.filter(on_base_grid(F.col(p.time), p.base_seconds))
-    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    return rows.groupBy(p.key, snap(F.col(p.time), p.step_minutes).alias(p.time)).agg(*[F.avg(clean(c)).alias(c) for c in p.features])
+    return on_grid(df, p).groupBy(p.key, snap(F.col(p.time), p.step_minutes).alias(p.time)).agg(*feature_means(p))
 
 
 def resample(df: DataFrame, p: Profile, cells: DataFrame | None = None) -> DataFrame:

@@ -31,20 +31,23 @@ def mixing_hash(*keys: Column) -> Column:
     return out
 
 
-def dev_exact(samples: DataFrame, p: Profile, order: Column, ties: str = "dt", slices: int = 64) -> DataFrame:
-    """`train` rows become `dev` for floor(dev_ratio * their number) of them: the first by order, ties by key and dt.
-
-    The cut is found on counts of `slices` parts of the order and ranks in the one part that holds it, so there is no
-    global sort; order must be a number below 2^32."""
-    s = samples.withColumn("__h", order).withColumn("__s", (F.col("__h") * slices / (1 << 32)).cast("int"))
-    train = s.filter(F.col("part") == "train").groupBy("__s").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    total = W.partitionBy(F.lit(1))
-    cuts = train.select("__s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.floor(F.sum("n").over(total) * F.lit(p.dev_ratio)).alias("__take"))
-    place = F.row_number().over(W.partitionBy("__s", "part").orderBy("__h", p.key, ties))
-    s = s.withColumn("__r", place).join(F.broadcast(cuts), "__s", "left")
-    dev = (F.col("part") == "train") & (F.col("__before") + F.col("__r") <= F.col("__take"))
-    return s.withColumn("part", F.when(dev, "dev").otherwise(F.col("part"))).select(*samples.columns)
+def dev_exact(samples: DataFrame, p: Profile, order: Column, ties: str = "dt", slices: int = 4096) -> DataFrame:
+    """`train` rows become `dev` for floor(dev_ratio * their number) of them: the first by order, ties by key and dt,
+    which tell samples apart. order must be a number below 2^32.
+
+    The cut is one row (order, key, dt), found on those columns alone: by counts of `slices` parts of the order, and a
+    rank in the one part that holds it. The samples themselves are compared with that row, and so neither sorted nor
+    moved."""
+    place = F.struct(order.alias("h"), F.col(p.key).alias("k"), F.col(ties).alias("t"))
+    train = samples.filter(F.col("part") == "train").select(place.alias("at")).withColumn("s", (F.col("at.h") * slices / (1 << 32)).cast("int"))
+    before = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    counts = train.groupBy("s").agg(F.count(F.lit(1)).alias("n"))  # `slices` rows at most
+    counts = counts.select("s", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.floor(F.sum("n").over(W.partitionBy(F.lit(1))) * F.lit(p.dev_ratio)).alias("take"))
+    held = counts.filter("before < take AND take <= before + n").select("s", (F.col("take") - F.col("before")).alias("rank"))
+    ranked = train.join(F.broadcast(held), "s").withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("at")))
+    cut = ranked.filter("r = rank").agg(F.max("at").alias("__cut"))  # null: none
+    dev = (F.col("part") == "train") & (place <= F.col("__cut"))
+    return samples.crossJoin(F.broadcast(cut)).withColumn("part", F.when(dev, "dev").otherwise(F.col("part"))).select(*samples.columns)
 
 
 def replicate(df: DataFrame, times: int) -> DataFrame:

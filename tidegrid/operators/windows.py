@@ -47,12 +47,13 @@ def positional(df: DataFrame, p: Profile) -> DataFrame:
         F.row_number().over(order).alias("seq"),
         F.lead(p.time, p.x_len + p.foresight).over(order).alias("dt"),
         F.collect_list("f").over(order.rowsBetween(0, p.span - 1)).alias("block"),
+        F.lead(p.time, p.span - 1).over(order).isNotNull().alias("full"),
         p.time,
     )
     days = [_memory_day(F.lag("block", per_day * (p.memory_days - j)).over(order), p) for j in range(p.memory_days)]
     x, y = _cut(F.col("block"), p)
-    d = d.select(p.key, "seq", "dt", "block", x.alias("x"), y.alias("y"), F.array(*days).alias("m"))
-    return d.filter((F.size("block") == p.span) & (F.col("seq") > per_day * p.memory_days)).drop("block")
+    d = d.select(p.key, "seq", "dt", "full", x.alias("x"), y.alias("y"), F.array(*days).alias("m"))
+    return d.filter(F.col("full") & (F.col("seq") > per_day * p.memory_days)).drop("full")
 
 
 def windows(df: DataFrame, p: Profile) -> DataFrame:
@@ -63,9 +64,10 @@ def windows(df: DataFrame, p: Profile) -> DataFrame:
         F.row_number().over(order).alias("slot"),
         F.lead(p.time, p.x_len + p.foresight).over(order).alias("dt"),
         F.collect_list("f").over(order.rowsBetween(0, p.span - 1)).alias("block"),
+        F.lead(p.time, p.span - 1).over(order).isNotNull().alias("full"),
     )
     x, y = _cut(F.col("block"), p)
-    return d.filter(F.size("block") == p.span).select(p.key, "day", "slot", "dt", x.alias("x"), y.alias("y"), "block")
+    return d.filter("full").select(p.key, "day", "slot", "dt", x.alias("x"), y.alias("y"), "block")
 
 
 def per_day(df: DataFrame, p: Profile, first_day: int | None = None) -> DataFrame:
@@ -76,8 +78,9 @@ def per_day(df: DataFrame, p: Profile, first_day: int | None = None) -> DataFram
     by_slot = W.partitionBy(p.key, "slot").orderBy("day")
     by_day = W.partitionBy(p.key).orderBy("day")
     d = windows(df, p).withColumn("nth", F.dense_rank().over(by_day))
-    d = d.withColumn("m", F.collect_list(_memory_day(F.col("block"), p)).over(by_slot.rowsBetween(-p.memory_days, -1)))
-    return d.filter((F.size("m") == p.memory_days) & (F.col("nth") > first)).select(p.key, "day", "slot", "dt", "x", "y", "m")
+    back = by_slot.rowsBetween(-p.memory_days, -1)
+    d = d.withColumn("m", F.collect_list(_memory_day(F.col("block"), p)).over(back)).withColumn("days", F.count(F.lit(1)).over(back))
+    return d.filter((F.col("days") == p.memory_days) & (F.col("nth") > first)).select(p.key, "day", "slot", "dt", "x", "y", "m")
 
 
 def by_time(df: DataFrame, p: Profile) -> DataFrame:
@@ -93,7 +96,7 @@ def by_time(df: DataFrame, p: Profile) -> DataFrame:
     gapless = wall_seconds(F.col("last")) - wall_seconds(F.col(p.time)) == (p.span - 1) * p.step_minutes * 60
     d = d.filter(gapless).withColumn("at", F.date_format(p.time, "HHmmss")).withColumn("day_number", F.unix_date("day"))
     same_time = W.partitionBy(p.key, "at").orderBy("day_number").rangeBetween(-p.memory_days, -1)
-    d = d.withColumn("m", F.collect_list(_memory_day(F.col("block"), p)).over(same_time)).filter(F.size("m") == p.memory_days)
+    d = d.withColumn("m", F.collect_list(_memory_day(F.col("block"), p)).over(same_time)).withColumn("days", F.count(F.lit(1)).over(same_time)).filter(F.col("days") == p.memory_days)
     x, y = _cut(F.col("block"), p)
     return d.select(p.key, "dt", x.alias("x"), y.alias("y"), "m")
 

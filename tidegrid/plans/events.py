@@ -5,6 +5,8 @@ A cell is an event type (its place in the alphabet of types), the features are `
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,13 @@ from ..operators.timegrid import with_ordinal
 from ..profile import EVENT_CELLS, EVENTS
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, cell, ts, value, k."""
-    d = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return with_ordinal(d, "event_type", EVENT_CELLS).filter("cell IS NOT NULL").select("event_id", "cell", "ts", "value", "k")
+def raw(spark: SparkSession, sf_dir: str, cells: Sequence[int] | None = None) -> DataFrame:
+    """event_id, cell, ts, value, k, of all cells or some. Cells are chosen by event type, which the scan can filter by; a
+    type that the deployment does not name is no cell."""
+    types = list(EVENT_CELLS) if cells is None else [EVENT_CELLS[i] for i in cells]
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin(types))
+    d = d.select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return with_ordinal(d, "event_type", EVENT_CELLS).select("event_id", "cell", "ts", "value", "k")
 
 
 def cells(spark: SparkSession) -> DataFrame:

@@ -78,9 +78,9 @@ SQL: dict[str, str] = {
     "cell_in_filter": f"WITH {RAW} SELECT event_id, cell, value FROM raw WHERE cell IN (1, 3)",
     "cell_ordinal": f"WITH {RAW} SELECT cell, count(*) AS n, min(event_id) AS first_id FROM raw GROUP BY cell",
     "dedup_last": f"WITH {RAW} SELECT event_id, cell, slot AS ts, value, k FROM raw QUALIFY row_number() OVER (PARTITION BY cell, slot ORDER BY event_id DESC) = 1",
-    "union_rows": f"WITH {RAW}, u AS (SELECT cell FROM raw WHERE cell = 0 UNION ALL SELECT cell FROM raw WHERE cell = 1 UNION ALL SELECT cell FROM raw WHERE cell = 1 AND value > 50) SELECT cell, count(*) AS n FROM u GROUP BY cell",
+    "union_rows": f"WITH {RAW}, u AS (SELECT cell FROM raw WHERE cell < 2 UNION ALL SELECT cell FROM raw WHERE cell >= 2 UNION ALL SELECT cell FROM raw WHERE value > 50) SELECT cell, count(*) AS n FROM u GROUP BY cell",
     "spine_hours": f"WITH {SPINE} SELECT * FROM spine",
-    "spine_fine": "SELECT 2::INTEGER AS cell, t AS ts FROM generate_series(TIMESTAMP '2024-01-01 08:00:00', TIMESTAMP '2024-01-01 20:59:50', INTERVAL 10 SECOND) s(t)",
+    "spine_fine": "SELECT c.i::INTEGER AS cell, t AS ts FROM range(5) c(i), generate_series(TIMESTAMP '2024-01-01 08:00:00', TIMESTAMP '2024-01-30 20:59:50', INTERVAL 10 SECOND) s(t) WHERE hour(t) >= 8 AND hour(t) < 21",
     "spine_left_join": f"WITH {RAW}, {SPINE} SELECT s.cell, s.ts, coalesce(event_id, -1) AS event_id, value FROM spine s LEFT JOIN raw r ON r.cell = s.cell AND r.slot = s.ts",
     "resample_mean": f"WITH {GRID} SELECT cell, ts, round(value, 6) AS value, round(k, 6) AS k FROM grid",
     "gap_fill": f"WITH {FILLED} SELECT cell, ts, round(value, 6) AS value, round(k, 6) AS k FROM filled",
@@ -118,24 +118,34 @@ FROM samples s, range(7) t(j), range(6) u(i), long l WHERE l.cell = s.cell AND l
 ) SELECT count(*) AS n, round(avg((y - f) * (y - f)), 6) AS mse, round(avg(abs(y - f)), 6) AS mae, round(sqrt(sum((y - f) * (y - f))) / sqrt(sum((y - m) * (y - m))), 6) AS rse,
   round(avg(abs(y - f) / nullif(abs(y), 0)), 6) AS mape, count(nullif(abs(y), 0)) AS n_mape, round(avg(2 * abs(y - f) / nullif(abs(y) + abs(f), 0)), 6) AS smape, count(nullif(abs(y) + abs(f), 0)) AS n_smape
 FROM e, (SELECT avg(y) AS m FROM e)""",
-    "amplify": f"WITH {RAW} SELECT event_id, c::INTEGER AS copy FROM raw, range(3) t(c) WHERE cell = 4",
+    "amplify": f"WITH {RAW} SELECT event_id, c::INTEGER AS copy FROM raw, range(3) t(c)",
     "table_round_trip": f"WITH {SCALED} SELECT cell, ts, round(value::FLOAT::DOUBLE, 4) AS value, round(k::FLOAT::DOUBLE, 4) AS k FROM scaled",
     "ranges_round_trip": f"WITH {RANGES} SELECT 'value' AS feature, round(v0, 6) AS min, round(v1, 6) AS max FROM ranges UNION ALL SELECT 'k', round(k0, 6), round(k1, 6) FROM ranges",
     "weights_round_trip": _PREDICT,
     "predictions_round_trip": _PREDICT,
-    "latest_run_folder": "SELECT '20240102-01' AS run",
+    "logs_by_name": f"""WITH {RAW} SELECT '7' AS station, cell::VARCHAR AS cell_no, date_trunc('second', ts)::TIMESTAMP AS ts, value, k FROM raw
+QUALIFY row_number() OVER (PARTITION BY cell, evt_dtm ORDER BY event_id % 2 DESC, event_id DESC) = 1""",
+    "indexed_table": f"WITH {SCALED} SELECT cell, ts, round(value::FLOAT::DOUBLE, 4) AS value, round(k::FLOAT::DOUBLE, 4) AS k FROM scaled",
+    "kv_scan": f"WITH {RAW} SELECT strftime(slot, '%Y%m%d%H%M%S') AS evt_dtm, event_id::INTEGER AS uniq_id, round(value::FLOAT::DOUBLE, 3) AS rsrp, round(k::FLOAT::DOUBLE, 3) AS cqi FROM raw",
+    "npy_round_trip": f"WITH {PLACED} SELECT cell, (seq - 1)::BIGINT AS \"at\", round(value::FLOAT::DOUBLE, 4) AS value, round(k::FLOAT::DOUBLE, 4) AS k FROM placed",
+    "samples_replicated": f"WITH {BY_DAY}, x AS ({X_BY_DAY}) SELECT cell, dt, c::INTEGER AS copy, step, feature, CASE WHEN abs(v) < 5e-7 THEN 0.0::DOUBLE ELSE round(v, 6) END AS value FROM x, range(2) t(c)",
+    "text_predictions": _PREDICT,
+    "latest_run_folder": f"""WITH {RAW}, days AS (SELECT cell, max(ts)::DATE AS day FROM raw GROUP BY cell)
+SELECT strftime(day, '%Y%m%d') || '-' || lpad((count(*) - 1)::VARCHAR, 2, '0') AS run FROM days WHERE day = (SELECT max(day) FROM days) GROUP BY day""",
     "stream_features": f"""WITH {_FILLED_LONG}, steps AS (
   SELECT cell, ts FROM filled WHERE hour(ts) BETWEEN 12 AND 19 AND ts::DATE >= DATE '2024-01-08'
-), x AS (SELECT a.cell, a.ts, sum(v) AS s FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts BETWEEN a.ts - INTERVAL 4 HOUR AND a.ts GROUP BY ALL
-), m AS (
-  SELECT a.cell, a.ts, sum(v) AS s FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts::DATE BETWEEN a.ts::DATE - 7 AND a.ts::DATE - 1 AND hour(fl.ts) BETWEEN hour(a.ts) - 4 AND hour(a.ts) + 1 GROUP BY ALL
-) SELECT x.cell, epoch(x.ts)::BIGINT AS "at", round(x.s, 6) AS sum_x, round(m.s, 6) AS sum_m FROM x JOIN m ON x.cell = m.cell AND x.ts = m.ts""",
-    "stream_means": f"WITH {RAW} SELECT cell, slot AS ts, round(avg(value), 6) AS value, round(avg(k), 6) AS k FROM raw GROUP BY cell, slot HAVING slot + INTERVAL 1 HOUR <= (SELECT max(ts) FROM raw) - INTERVAL 10 MINUTE",
+), elements AS (
+  SELECT a.cell, a.ts, -1 AS day, hour(fl.ts) - hour(a.ts) + 4 AS step, feature, v FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts BETWEEN a.ts - INTERVAL 4 HOUR AND a.ts
+  UNION ALL SELECT a.cell, a.ts, (fl.ts::DATE - a.ts::DATE) + 7, hour(fl.ts) - hour(a.ts) + 4, feature, v
+  FROM steps a JOIN fl ON fl.cell = a.cell AND fl.ts::DATE BETWEEN a.ts::DATE - 7 AND a.ts::DATE - 1 AND hour(fl.ts) BETWEEN hour(a.ts) - 4 AND hour(a.ts) + 1
+) SELECT cell, epoch(ts)::BIGINT AS "at", day::INTEGER AS day, step::INTEGER AS step, feature, round(v, 6) AS value FROM elements""",
+    "stream_means": f"WITH {RAW} SELECT cell, slot AS ts, round(avg(value), 6) AS value, round(avg(k), 6) AS k FROM raw WHERE hour(slot) >= 8 AND hour(slot) < 21 AND ts >= '2024-01-01' AND ts < '2024-01-31' GROUP BY cell, slot HAVING slot + INTERVAL 1 HOUR <= (SELECT max(ts) FROM raw) - INTERVAL 10 MINUTE",
     "asof_inputs": _INPUTS,
     "queue_advance": _INPUTS,
     "asof_memory": _MEMORY,
     "memory_advance": _MEMORY,
-    "asof_pairs": f"""WITH {FILLED}, x AS (SELECT cell, count(*) AS n FROM filled WHERE ts BETWEEN '2024-01-20 10:00:00' AND '2024-01-20 14:00:00' GROUP BY cell),
-m AS (SELECT cell, count(*) AS n FROM filled WHERE ts::DATE BETWEEN '2024-01-13' AND '2024-01-19' AND hour(ts) BETWEEN 10 AND 15 GROUP BY cell)
-SELECT x.cell, x.n::INTEGER AS n_x, m.n::INTEGER AS n_m FROM x JOIN m ON x.cell = m.cell WHERE x.n = 5 AND m.n = 42""",
+    "asof_pairs": f"""WITH {_FILLED_LONG}, x AS (SELECT cell, -1 AS day, (hour(ts) - 10)::INTEGER AS step, feature, v FROM fl WHERE ts BETWEEN '2024-01-20 10:00:00' AND '2024-01-20 14:00:00'),
+m AS (SELECT cell, (ts::DATE - DATE '2024-01-13')::INTEGER AS day, (hour(ts) - 10)::INTEGER AS step, feature, v FROM fl WHERE ts::DATE BETWEEN '2024-01-13' AND '2024-01-19' AND hour(ts) BETWEEN 10 AND 15),
+whole AS (SELECT cell FROM x GROUP BY cell HAVING count(*) = 10 INTERSECT SELECT cell FROM m GROUP BY cell HAVING count(*) = 84)
+SELECT cell, day::INTEGER AS day, step, feature, round(v, 6) AS value FROM (SELECT * FROM x UNION ALL SELECT * FROM m) JOIN whole USING (cell)""",
 }

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.datetimes import before_days, move_minutes, parse_text, snap, text_time_filter, time_filter
+from ..functions.datetimes import as_text, before_days, in_steps, move_minutes, parse_text, snap, text_time_filter, time_filter
 from ..operators import asof, metrics, model, scaling, split, timegrid, train, windows
 from ..profile import EVENT_CELLS, EVENTS, KPI_RANGES, Profile
-from ..sources import files
+from ..sources import files, kv
 from ..streaming.queues import live_features, live_step_means
 from . import events as ev
 from .oracle import SQL
@@ -34,7 +32,9 @@ def time_filter_days(spark, d):
 
 
 def time_filter_exact(spark, d):
-    return ev.kv(spark, d).withColumn("slot_dtm", F.date_format("slot", "yyyyMMddHHmmss")).filter(text_time_filter(F.col("slot_dtm"), UNTIL, 0, 7)).select("event_id", "slot_dtm", "cell")
+    """Steps that start at one time on seven days: by text, and by ranges of the raw time for the scan."""
+    rows = ev.kv(spark, d).filter(in_steps(F.col("ts"), UNTIL, P.step_minutes, 7)).withColumn("slot_dtm", F.date_format("slot", "yyyyMMddHHmmss"))
+    return rows.filter(text_time_filter(F.col("slot_dtm"), UNTIL, 0, 7)).select("event_id", "slot_dtm", "cell")
 
 
 def text_times(spark, d):
@@ -43,7 +43,7 @@ def text_times(spark, d):
 
 
 def cell_in_filter(spark, d):
-    return windows.filter_cells(ev.raw(spark, d), [1, 3], P).select("event_id", "cell", "value")
+    return windows.filter_cells(ev.raw(spark, d, [1, 3]), [1, 3], P).select("event_id", "cell", "value")
 
 
 def cell_ordinal(spark, d):
@@ -56,8 +56,9 @@ def dedup_last(spark, d):
 
 
 def union_rows(spark, d):
+    """All cells in two frames, and the high values again."""
     r = ev.raw(spark, d)
-    return timegrid.union_all(r.filter("cell = 0"), r.filter("cell = 1"), r.filter("cell = 1 AND value > 50")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return timegrid.union_all(r.filter("cell < 2"), r.filter("cell >= 2"), r.filter("value > 50")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 def spine_hours(spark, d):
@@ -65,9 +66,8 @@ def spine_hours(spark, d):
 
 
 def spine_fine(spark, d):
-    """The ten-second base grid of one day and cell."""
-    day = Profile(P.features, start=P.start, end=P.start.replace(day=2))
-    return timegrid.spine(ev.cells(spark).filter("cell = 2"), day, day.base_seconds)
+    """The ten-second base grid."""
+    return timegrid.spine(ev.cells(spark), P, 10)
 
 
 def spine_left_join(spark, d):
@@ -161,7 +161,7 @@ def _samples(spark, d):
 
 
 def split_time(spark, d):
-    return split.by_time(_samples(spark, d), P).groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+    return split.by_time(_samples(spark, d).select("cell", "dt"), P).groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))
 
 
 def split_tail(spark, d):
@@ -170,7 +170,7 @@ def split_tail(spark, d):
 
 
 def _parts(spark, d):
-    s = split.by_time(_samples(spark, d), P)
+    s = split.by_time(files.kept(_samples(spark, d), "samples"), P)
     return split.dev_exact(s, P, split.mixing_hash(F.col("cell"), F.dayofyear("dt"), F.hour("dt")))
 
 
@@ -203,7 +203,7 @@ def forecast_errors(spark, d):
 
 
 def amplify(spark, d):
-    return split.replicate(ev.raw(spark, d).filter("cell = 4").select("event_id"), 3)
+    return split.replicate(ev.raw(spark, d).select("event_id"), 3)
 
 
 def _online(spark, d):
@@ -234,9 +234,10 @@ def memory_advance(spark, d):
 
 
 def asof_pairs(spark, d):
-    """Which cells can be forecast at a time, and from how many steps."""
-    q = asof.features_at(_online(spark, d), AT, P)
-    return q.select("cell", F.size("x").alias("n_x"), F.size(F.flatten("m")).alias("n_m"))
+    """Everything that the forecasts at a time are made from, for the cells that have it: x as day -1, then the memory days."""
+    q = asof.features_at(files.kept(_online(spark, d), "online"), AT, P)
+    x = windows.long_form(q, ["cell"], "x").select("cell", F.lit(-1).alias("day"), "step", "feature", "value")
+    return _r(x.unionByName(windows.long_form(q, ["cell"], "m")), "value")
 
 
 def table_round_trip(spark, d):
@@ -267,23 +268,24 @@ def predictions_round_trip(spark, d):
 
 
 def latest_run_folder(spark, d):
+    """A run for each cell, on the day of its last event: the folder of the latest one."""
     base = files.scratch(spark, "runs")
-    for day in (date(2024, 1, 2), date(2024, 1, 1), date(2024, 1, 2)):
+    for (day,) in ev.raw(spark, d).groupBy("cell").agg(F.max(F.to_date("ts")).alias("day")).select("day").collect():
         files.new_run(spark, base, day)
     return spark.createDataFrame([(files.latest_run(spark, base).rpartition("/")[2],)], "run string")
 
 
 def stream_features(spark, d):
-    """The as-of features of every step of the filled grid, made by the stateful stream; in sums, to compare them."""
+    """The as-of features of every step of the filled grid, made by the stateful stream: x as day -1, then the memory days."""
     path = files.scratch(spark, "stream")
     grid = ev.filled(spark, d)
     grid.write.parquet(f"{path}/in")
     live = live_features(spark.readStream.schema(grid.schema).parquet(f"{path}/in"), P)
     q = live.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     q.awaitTermination()
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    out = spark.read.parquet(f"{path}/out").select("cell", "at", total(F.flatten("x")).alias("sum_x"), total(F.flatten(F.flatten("m"))).alias("sum_m"))
-    return _r(out, "sum_x", "sum_m")
+    out = spark.read.parquet(f"{path}/out")
+    x = windows.long_form(out, ["cell", "at"], "x").select("cell", "at", F.lit(-1).alias("day"), "step", "feature", "value")
+    return _r(x.unionByName(windows.long_form(out, ["cell", "at"], "m")), "value")
 
 
 def stream_means(spark, d):
@@ -297,8 +299,64 @@ def stream_means(spark, d):
     return _r(spark.read.parquet(f"{path}/out"), *P.features)
 
 
+def logs_by_name(spark, d):
+    """Raw rows as CSV logs, two files a cell with their columns in different order, read back by name; of rows with one
+    time the last of the later file stays."""
+    path = files.scratch(spark, "logs")
+    rows = ev.raw(spark, d).select("event_id", "cell", as_text(F.col("ts")).alias("EVT_DTM"), F.col("value").alias("VALUE"), F.col("k").alias("K"))
+    for half, columns in (("a", ["EVT_DTM", "VALUE", "K"]), ("b", ["K", "EVT_DTM", "VALUE"])):
+        own = rows.filter(F.col("event_id") % 2 == int(half == "b")).repartition("cell").sortWithinPartitions("cell", "event_id")
+        own.select("cell", *columns).write.partitionBy("cell").option("header", True).csv(f"{path}/{half}")
+        files.collect_logs(spark, f"{path}/{half}", "cell", path, "7", half)
+    p = Profile(**{**P.__dict__, "features": ("value", "k")})
+    return files.read_logs_of(spark, path, [("7", str(c)) for c in range(len(EVENT_CELLS))], p).select("station", "cell_no", "ts", "value", "k")
+
+
+def indexed_table(spark, d):
+    """The scaled grid written as CSV and read back with its first column as an index of text."""
+    path = files.scratch(spark, "indexed")
+    files.write_table(ev.scaled(spark, d), path, P)
+    return files.read_indexed(spark, path, P).select("cell", "ts", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in P.features])
+
+
+def kv_scan(spark, d):
+    """Raw rows as groups of the key-value store, scanned."""
+    path = files.scratch(spark, "kv")
+    rows = ev.kv(spark, d).join(ev.raw(spark, d).select("event_id", "value", "k"), "event_id")
+    groups = rows.select(as_text(F.col("slot")).alias("evt_dtm"), F.col("event_id").cast("int").alias("uniq_id"), F.col("value").alias("rsrp"), F.col("k").alias("cqi"), (F.col("event_id") % 2).cast("int").alias("random"))
+    kv.write_groups(groups, path)
+    kv.register(spark)
+    got = spark.read.format("kvtable").option("path", path).load()
+    return got.select("evt_dtm", "uniq_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("rsrp", "cqi")])
+
+
+def npy_round_trip(spark, d):
+    """Each cell's scaled series as one .npy file, scanned."""
+    path = files.scratch(spark, "npy")
+    series = ev.scaled(spark, d).select("cell", "ts", F.array("value", "k").alias("v"))
+    files.write_npy(series, path, "cell", "ts", "v")
+    got = files.read_npy(spark, path)
+    cell = F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int").alias("cell")
+    return got.select(cell, F.col("at").cast("long").alias("at"), *[F.round(F.element_at("value", i), 4).alias(c) for i, c in ((1, "value"), (2, "k"))])
+
+
+def samples_replicated(spark, d):
+    """Samples written twice each, read back."""
+    path = files.scratch(spark, "samples")
+    files.write_samples(_samples(spark, d), path, 2)
+    return _r(windows.long_form(spark.read.parquet(path), ["cell", "dt", "copy"], "x"), "value")
+
+
+def text_predictions(spark, d):
+    """Forecasts written as lines of text, read back."""
+    path = files.scratch(spark, "lines")
+    files.write_predictions(_forecasts(spark, d), path, P, "text")
+    got = spark.read.text(path).select(F.from_json("value", "cell int, dt timestamp_ntz, pred array<double>").alias("v"))
+    return _r(got.select("v.cell", "v.dt", F.posexplode("v.pred").alias("feature", "value")), "value")
+
+
 def train_history(spark, d):
-    """Losses of a short training run; no SQL form."""
+    """Losses of a short training run on all samples; no SQL form."""
     done = train.train(_parts(spark, d), P, HIDDEN, epochs=3)
     return spark.createDataFrame(done.history, "epoch int, train_loss double, dev_loss double")
 
@@ -308,6 +366,6 @@ _LIST = (
     resample_mean, gap_fill, min_max_range, scale_global, scale_const, unscale, unscale_vectors, windows_positional, targets_positional, memory_positional,
     windows_per_day, targets_per_day, windows_foresight, memory_per_day, memory_by_time, last_days_tensor, split_time, split_tail, split_dev_exact,
     ar_head, predict, predict_native, forecast_errors, amplify, asof_inputs, asof_memory, queue_advance, memory_advance, asof_pairs,
-    table_round_trip, ranges_round_trip, weights_round_trip, predictions_round_trip, latest_run_folder, stream_features, stream_means, train_history,
+    logs_by_name, indexed_table, kv_scan, npy_round_trip, samples_replicated, text_predictions, table_round_trip, ranges_round_trip, weights_round_trip, predictions_round_trip, latest_run_folder, stream_features, stream_means, train_history,
 )
 QUERIES = {f.__name__: f for f in _LIST}

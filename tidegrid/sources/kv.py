@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -91,6 +94,21 @@ class KvTable(DataSource):
         return Reader(FolderClient(self.options["path"]), int(self.options.get("groups_per_task", "64")))
 
 
+def write_groups(df: DataFrame, folder: str) -> int:
+    """Rows (evt_dtm, random, uniq_id, features) as the groups of a folder that all executors mount; the number of groups.
+    A group's file appears whole under its name, so a repeated task does no harm."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        name = f"{frame['evt_dtm'].iloc[0]}_{frame['random'].iloc[0]}.jsonl"
+        part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+        frame.to_json(part, orient="records", lines=True, double_precision=15)
+        os.replace(part, os.path.join(folder, name))
+        return pd.DataFrame({"groups": [1]})
+
+    return df.groupBy("evt_dtm", "random").applyInPandas(run, "groups long").count()
+
+
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(KvTable)

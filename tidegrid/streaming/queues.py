@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.datetimes import wall_seconds
 from ..functions.vectors import assemble
+from ..operators.resample import feature_means, on_grid
 from ..profile import Profile
 
 DAY = 86_400
@@ -64,7 +65,12 @@ def live_features(rows: DataFrame, p: Profile) -> DataFrame:
 
 
 def live_step_means(rows: DataFrame, p: Profile, lateness: str = "10 minutes") -> DataFrame:
-    """key, time, features: step means of a stream, each given out once the watermark has passed its step."""
+    """key, time, features: the step means of a stream, as resample.step_means has them, each given out once the watermark
+    has passed its step. A watermark needs an instant: the clock's time is taken as UTC's and back, whatever the session's
+    zone, so that no clock change moves a step."""
+    wall = lambda t: F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.unix_micros(t) / 1_000_000).cast("decimal(18,6)"))
+    instant = F.timestamp_micros((wall_seconds(F.col(p.time)) * 1_000_000 + F.extract(F.lit("SECOND"), F.col(p.time)) % 1 * 1_000_000).cast("long"))
+    # filters on the instant stay above the watermark, so rows that no step takes still move it on
+    d = rows.withColumn("__t", instant).withWatermark("__t", lateness).withColumn(p.time, wall(F.col("__t")))
     step = F.window("__t", f"{p.step_minutes} minutes")
-    d = rows.withColumn("__t", F.col(p.time).cast("timestamp")).withWatermark("__t", lateness)
-    return d.groupBy(p.key, step.alias("w")).agg(*[F.avg(c).alias(c) for c in p.features]).select(p.key, F.col("w.start").cast("timestamp_ntz").alias(p.time), *p.features)
+    return on_grid(d, p).groupBy(p.key, step.alias("w")).agg(*feature_means(p)).select(p.key, wall(F.col("w.start")).alias(p.time), *p.features)
