@@ -63,3 +63,21 @@ def test_plan_is_native(spark):
     plan = ld.op8_line_dedup(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert spark.range(1).select(F.sha2(F.lit("a"), 256)).first()[0] == hashlib.sha256(b"a").hexdigest()
+
+
+def test_selected_places(documents):
+    """Winnowing selects the least hash of every three lines: about half of the lines, none without a window, and for equal
+    runs the same lines, wherever they stand."""
+    rng = random.Random(2)
+    run = [f"common {k}" for k in range(12)]
+    rows = [(i, "\n".join([f"own {rng.random()}" for _ in range(40)] + run + [f"own {rng.random()}" for _ in range(40)])) for i in range(50)]
+    rows += [(60, "two\nlines"), (61, None)]
+    found = ld.fingerprints(documents(rows)).collect()
+    assert 0.4 * 50 * 92 < len(found) < 0.6 * 50 * 92 and not any(r["ord"] in (60, 61) for r in found)
+    inside = {}
+    for r in found:
+        if 42 <= r["place"] < 50:  # windows that lie in the run altogether
+            inside.setdefault(r["ord"], set()).add((r["fp"], r["place"]))
+    assert len(inside) == 50 and len(set(map(frozenset, inside.values()))) == 1
+    for r in found:
+        assert r["left"] + r["right"] >= 2 and len(r["near"]) >= r["left"] + r["right"] + 1 and r["near"][r["left"]]["h"] == r["fp"]

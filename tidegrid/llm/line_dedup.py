@@ -4,18 +4,24 @@ A line counts if it has a word. A run is `min_run` or more consecutive such line
 document with a smaller doc_id or further up in the same one, is deleted. Blank lines neither count nor break a run; they
 go with the line before them.
 
-Winnowing: every window of `min_run` line hashes selects its least hash as a fingerprint, so two equal runs are
-guaranteed to select the same fingerprints at the same places. Fingerprints that are selected at one place only end
-there. The others are joined back to their positions, each with the windows that selected it; equal windows extend the
-match from the fingerprint to both sides, and overlapping windows of neighbouring fingerprints join into maximal runs.
-First places are map-side combined minima, so a line, passage or copied document may hold any part of all rows.
-
-With `min_words`, a run of fewer lines is deleted too where it has that many words: windows of one and more such lines,
-below `min_run`, are fingerprinted beside the others.
+Winnowing: of every window of `min_run` line hashes the least (the first of equal ones) is selected as a fingerprint, so
+two equal runs are guaranteed to select the same fingerprints at the same places, and about 2 lines in `min_run` + 1 are
+selected. A selected place is one row: its fingerprint, how many lines it reaches to the left (they have greater hashes)
+and to the right (no smaller ones), and the hashes of those lines. Fingerprints of one place only end there; the others
+are joined back to their places. From there matches extend both ways, as far as the fingerprint reaches: the neighbouring
+hashes of each `min_run` lines around the place are compared, all in one grouping, so that neither pairs of places nor a
+common line's places meet in one task. What is later than the first of its kind is deleted, and overlapping matches of
+neighbouring fingerprints join into maximal runs. First places are map-side combined minima, so a line, passage or copied
+document may hold any part of all rows.
+
+With `min_words`, a run of fewer lines is deleted too where it has that many words: places are then also selected by
+windows of one and more such lines, below `min_run`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,49 +36,86 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _reach(hashes: Column, k: Column, step: int, most: int) -> Column:
+    """How many lines a fingerprint at k reaches in a direction: those before it have greater hashes, those after it no
+    smaller ones; `most` at most."""
+    h, out = F.get(hashes, k), F.lit(most)
+    for d in range(most, 0, -1):
+        other = F.get(hashes, k + step * d)  # null outside the text
+        out = F.when(other > h if step < 0 else other >= h, out).otherwise(d - 1)
+    return out
+
+
+def _windows(min_run: int, min_words: int | None) -> list[tuple[int, int]]:
+    """(lines, how many of them stand before the fingerprint) of all windows that may select a line."""
+    sizes = [min_run] if min_words is None else range(1, min_run + 1)
+    return [(size, before) for size in sizes for before in range(size)]
+
+
+def _holds(one: Column, size: int, before: int, min_run: int, min_words: int | None) -> Column:
+    """Whether the place selects for a window. one: left, right, near (lines from the left reach to one past the right)."""
+    fits = (one["left"] >= before) & (one["right"] >= size - 1 - before)
+    if size == min_run:
+        return fits
+    lines = F.slice(one["near"], one["left"] - before + 1, F.lit(size))
+    return fits & (F.when(fits, F.aggregate(lines, F.lit(0), lambda n, x: n + x["words"])).otherwise(0) >= min_words)
+
+
 def _selected(lines: Column, min_run: int, min_words: int | None) -> Column:
-    """Per window: w (its lines and their hashes) and next (the line after it that counts)."""
+    """Per selected place: fp, place, left, right, near."""
     words = lambda x: [] if min_words is None else [F.regexp_count(x, F.lit(WORD)).alias("words")]
     line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), *words(x))
     solid = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), line(x, i))), lambda s: s.isNotNull())
 
-    def windows(s: Column, size: int) -> Column:
-        every = F.transform(
-            F.sequence(F.lit(0), F.size(s) - size),
-            lambda k: F.struct(
-                F.slice(s, k + 1, F.lit(size)).alias("w"),
-                F.try_element_at(s, k + size + 1)["i"].alias("next"),
-            ),
-        )
-        if size < min_run:
-            every = F.filter(every, lambda o: F.aggregate(o["w"], F.lit(0), lambda n, x: n + x["words"]) >= min_words)
-        return F.when(F.size(s) >= size, every)
+    def places(s: Column, hashes: Column) -> Column:
+        def reached(k: Column) -> Column:
+            return F.struct(k.alias("k"), _reach(hashes, k, -1, min_run - 1).alias("left"), _reach(hashes, k, 1, min_run - 1).alias("right"))
 
-    if min_words is None:
-        return F.transform(F.array(solid), lambda s: windows(s, min_run))[0]  # bound once, then used by name
-    return F.transform(F.array(solid), lambda s: F.flatten(F.filter(F.array(*[windows(s, k) for k in range(1, min_run + 1)]), lambda x: x.isNotNull())))[0]
+        def place(r: Column) -> Column:
+            near = F.slice(s, r["k"] - r["left"] + 1, r["left"] + r["right"] + 2)
+            return F.struct(F.get(hashes, r["k"]).alias("fp"), F.get(s, r["k"])["i"].alias("place"), r["left"].alias("left"), r["right"].alias("right"), near.alias("near"))
+
+        every = F.transform(F.sequence(F.lit(0), F.size(s) - 1), reached)
+        if min_words is None:  # the others are selected by no window
+            every = F.filter(every, lambda r: r["left"] + r["right"] >= min_run - 1)
+        out = F.transform(every, place)
+        if min_words is not None:
+            out = F.filter(out, lambda o: reduce(lambda a, b: a | b, (_holds(o, size, before, min_run, min_words) for size, before in _windows(min_run, min_words))))
+        return F.when(F.size(s) > 0, out)
+
+    # bound once each, then used by name
+    return F.transform(F.array(solid), lambda s: F.transform(F.array(F.transform(s, lambda x: x["h"])), lambda hashes: places(s, hashes))[0])[0]
 
 
 def fingerprints(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
-    """ord, h (which row), fp, place, spans (array of a, b, lo, hi: the windows that selected the fingerprint there)."""
+    """One row a selected place: ord, h (which row of docs), n (its lines), fp, place, left, right, near."""
     d = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64("text").alias("h"), _lines(F.col("text")).alias("lines"))
-    d = d.select("ord", "h", F.size("lines").alias("n"), F.explode(_selected(F.col("lines"), min_run, min_words)).alias("one"))
-    hashes = F.transform("one.w", lambda x: x["h"])
-    d = d.select("ord", "h", "n", F.col("one.w").alias("w"), F.col("one.next").alias("next"), hashes.alias("hs")).withColumn("fp", F.array_min("hs"))
-    return d.select(
-        "ord", "h", "fp", F.element_at("w", F.array_position("hs", F.col("fp")).cast("int"))["i"].alias("place"),
-        F.xxhash64("hs").alias("a"), F.hash("hs").alias("b"), F.element_at("w", 1)["i"].alias("lo"), F.coalesce("next", "n").alias("hi"),
-    )
+    return d.select("ord", "h", F.size("lines").alias("n"), F.explode(_selected(F.col("lines"), min_run, min_words)).alias("one")).select("ord", "h", "n", "one.*")
+
+
+def _extended(found: DataFrame, min_run: int, min_words: int | None) -> DataFrame:
+    """ord, h, a, b (hashes of the lines), lo, hi: every window that a place selects for, from its first line to the next
+    line that counts."""
+
+    def window(size: int, before: int) -> Column:
+        one = {c: F.col(c) for c in ("left", "right", "near")}
+        at = F.col("left") - before
+        hashes = F.transform(F.slice("near", at + 1, F.lit(size)), lambda x: x["h"])
+        made = F.struct(F.xxhash64(hashes).alias("a"), F.hash(hashes).alias("b"), F.get("near", at)["i"].alias("lo"), F.coalesce(F.get("near", at + size)["i"], F.col("n")).alias("hi"))
+        return F.when(_holds(one, size, before, min_run, min_words), made)
+
+    windows = F.filter(F.array(*[window(size, before) for size, before in _windows(min_run, min_words)]), lambda w: w.isNotNull())
+    return found.select("ord", "h", F.explode(windows).alias("w")).select("ord", "h", "w.*")
 
 
 def later_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """ord, h, runs: sorted array of (lo, hi), the lines [lo, hi) to delete; only rows with any."""
     found = durable(fingerprints(docs, min_run, min_words), "winnow-positions")
-    places = found.select("ord", "h", "fp", "place").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
+    places = found.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
     # Counts are written before they are joined back to their rows: only a join between exchanges can have its large
     # partitions split, and a third of all rows may share a line.
     places = durable(places, "winnow-places")
-    hit = durable(found.join(places, "fp").select("ord", "h", "a", "b", "lo", "hi"), "winnow-matches")
+    hit = durable(_extended(found.join(places, "fp"), min_run, min_words), "winnow-matches")
     first = hit.groupBy("a", "b").agg(F.min(F.struct("ord", "lo")).alias("first"), F.max(F.struct("ord", "lo")).alias("last")).filter("first != last").drop("last")
     first = durable(first, "winnow-first")
     later = hit.join(first, ["a", "b"]).filter(F.struct("ord", "lo") > F.col("first")).select("ord", "h", "lo", "hi").distinct()
