@@ -55,7 +55,7 @@ def edge(spark, rows):
 
 def test_edges(spark):
     d = edge(spark, EDGE)
-    sized = d.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"), F.col("doc_id").alias("row"))
+    sized = d.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"), mixing.order_key(F.col("text")).alias("key"), F.col("doc_id").alias("row"))
     rows = mixing.plan_mix(sized).collect()
     assert sorted((r["row"] or 0, r["size"]) for r in rows) == sorted((i or 0, len((t or "").split())) for i, t, _ in EDGE)
     assert all(0 <= r["taken"] <= 2 * r["size"] and sum(r["copies"]) == r["taken"] for r in rows)
@@ -77,7 +77,7 @@ def test_mixed_texts(spark):
 
 def test_curriculum(spark):
     """Positions follow each source's schedule: the first (fading in) comes later than the last (fading out)."""
-    d = spark.createDataFrame([(i, f"s{i % 3}", 10, i) for i in range(3000)], "doc_id long, source string, size long, row long")
+    d = spark.createDataFrame([(i, f"s{i % 3}", 10, i) for i in range(3000)], "doc_id long, source string, size long, row long").withColumn("key", mixing.order_key(F.lit("")))
     p = mixing.plan_mix(d, weights=(1, 1, 1)).select("row", F.explode(F.arrays_zip("copies", "due")).alias("c")).filter("c.copies > 0")
     mean = {r["s"]: r["m"] for r in p.groupBy((F.col("row") % 3).alias("s")).agg(F.avg("c.due").alias("m")).collect()}
     assert mean[0] > mean[1] > mean[2] and mean[1] == pytest.approx(0.5, abs=0.01)
@@ -87,3 +87,15 @@ def test_curriculum(spark):
 def test_same_again(spark):
     a, b = (sorted(map(tuple, mixing.op10_mixing(spark, DATA).collect())) for _ in range(2))
     assert a == b
+
+
+def test_null_ids_spread(spark):
+    """Rows without an id fall into many slices, and more rows into more slices."""
+    d = spark.createDataFrame([(None, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    assert d.select(F.substring(mixing.order_key(F.col("text")), 1, 3)).distinct().count() > 1500
+    assert [mixing.slice_digits_for(n) for n in (0, 10**6, 10**9, 10**10)] == [3, 3, 4, 5]
+
+
+def test_texts_read_once(spark):
+    plan = mixing.op10_mixing(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "regexp_count" not in plan

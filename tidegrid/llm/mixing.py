@@ -11,8 +11,10 @@ word that a source gives is due at D_i^-1(n), a quadratic solved in closed form.
 of the source's (pseudo-random but fixed) order; copy c sits at pass c of that order. So position is a function of the
 row and of a prefix sum, and the mix is a range sort by position.
 
-Prefix sums. A source may hold any part of all rows: sizes are first summed by (source, slice of the md5 order), the
-slices are prefix-summed (a bounded table), and a window inside one slice adds the rest. No task sees a whole source.
+Prefix sums. A source may hold any part of all rows: sizes are first summed by (source, slice of the order), the slices
+are prefix-summed, and a window inside one slice adds the rest. The order is by a hash of id and text, and there are
+as many slices as the rows ask for, so neither a source nor rows with a null or repeated id are one task. The sums by slice
+are a small table that is written once, so that no text is counted again for it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_width, table
+from .common import WORD, durable, shuffle_width, table
 
 #: Weights dealt to the sources by name order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -58,20 +60,32 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select("source", "source_size", "weight", "begin", F.least(target, F.col("full")).alias("target"))
 
 
+def order_key(text: Column) -> Column:
+    """Where a row stands in its source: a hash of its id and text."""
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
+def slice_digits_for(rows: int, slice_rows: int = 100_000) -> int:
+    """Hexadecimal digits of the order that a slice stands for, so that it holds about slice_rows rows at most."""
+    digits = 3
+    while rows / 16**digits > slice_rows:
+        digits += 1
+    return digits
+
+
 def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, starts: tuple[float, ...] = STARTS, slice_digits: int = 3) -> DataFrame:
-    """sized(doc_id, source, size, row): one row out per row in, with row, size, source_size, target, taken, copies
-    (words of each copy) and due (training position in [0, 1] of each copy).
+    """sized(doc_id, source, size, key, row): one row out per row in, with row, size, source_size, target, taken, copies
+    (words of each copy) and due (training position in [0, 1] of each copy). sized is read twice: once for the sums.
 
-    taken is whole passes over the source plus, in the last pass, the documents that come first in md5 order until the
+    taken is whole passes over the source plus, in the last pass, the documents that come first in order of key until the
     target is met to the word; the one document at that border gives its first words only. Size 0 is taken 0 times;
-    source null is a source of its own, last in order; doc_id null sorts like an empty id. Equal rows follow each
+    source null is a source of its own, last in order; doc_id null counts as an empty id. Equal rows follow each
     other in the order, each with its own share. Empty input: empty output."""
     source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = sized.select("row", "size", "source", "doc_id", source_key, key.alias("key"), F.substring(key, 1, slice_digits).alias("slice"))
+    d = sized.select("row", "size", "source", "doc_id", source_key, "key", F.substring("key", 1, slice_digits).alias("slice"))
     slices = d.groupBy("source_key", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
     by_slice = W.partitionBy("source_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(by_slice), F.lit(0).cast("long")))
+    slices = durable(slices.withColumn("before", F.coalesce(F.sum("slice_size").over(by_slice), F.lit(0).cast("long"))), "mix-slices")
     sources = slices.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
     goal = targets(sources.select("source", "source_size"), weights, share, cap, starts).withColumn("source_key", source_key).drop("source", "weight")
     offsets = slices.join(goal, "source_key").select("source_key", "slice", "before", "source_size", "target", "begin")
@@ -94,8 +108,8 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: the columns of docs, one row per copy taken, range-sorted by training position. The copy at
     the border of a target ends after its last taken word, and n_chars, if there is one, is renewed for it. Rows taken
     0 times (among them all without a word) are left out. Other columns are carried as they are, whatever their names."""
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.struct("*").alias("row"))
-    p = plan_mix(sized, **settings)
+    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), order_key(F.col("text")).alias("key"), F.struct("*").alias("row"))
+    p = plan_mix(sized, slice_digits=slice_digits_for(docs.count()), **settings)
     e = p.select(F.col("row").alias("line"), "size", F.explode(F.arrays_zip("copies", "due")).alias("one")).select("line", "size", "one.copies", "one.due").filter("copies > 0")
     part = F.col("copies") < F.col("size")
     e = e.withColumn("taken_text", F.when(part, F.expr(CUT)).otherwise(F.col("line.text")))
@@ -108,15 +122,17 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 def op10_mixing(spark, sf_dir):
     """Contract query: one row per document with what the mix takes of it; position is its first copy's place."""
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size"), F.col("doc_id").alias("row"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size"), order_key(F.col("text")).alias("key"), F.col("doc_id").alias("row"))
+    sized = durable(sized, "mix-sizes")  # the one time that texts are read
     due = F.when(F.col("taken") > 0, F.round(F.element_at("due", 1), 9))
-    return plan_mix(sized).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", due.alias("position"))
+    return plan_mix(sized, slice_digits=slice_digits_for(sized.count())).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", due.alias("position"))
 
 
 OP10_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key, coalesce('=' || source, '') AS source_key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS key, coalesce('=' || source, '') AS source_key FROM documents
 ), sources AS (
   SELECT source_key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source_key
 ), dealt AS (
