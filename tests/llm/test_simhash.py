@@ -89,6 +89,22 @@ def test_links_short_and_long_lists(spark, bound):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_tally(spark):
+    """Of members of one term, sharing bytes 0 to 3: pairs that share 5 positional bytes are rejected by the tally alone,
+    pairs that share 6 come through it whatever their distance, and verification takes the far ones out."""
+    base = 0x1122334455667788
+    members = {"base": base, "five": base ^ 0x0101010000000000, "six_far": base ^ 0x7F07000000000000, "six_near": base ^ 0x0100010000000000, "four": base ^ 0x0102040800000000}
+    d = spark.createDataFrame([(0, 7, v) for v in members.values()], "c int, content long, fp long")
+    got = {(r["u"], r["v"]): r["shared"] for r in simhash.tallied(d).collect()}
+    shares = lambda a, b: sum((a ^ b) >> 8 * k & 255 == 0 for k in range(8))
+    want = {(a, b): shares(a, b) for a in members.values() for b in members.values() if a < b and shares(a, b) >= 6}
+    assert got == want
+    pair = lambda x: tuple(sorted((base, members[x])))
+    assert pair("six_far") in got and pair("six_near") in got and pair("five") not in got
+    linked = {tuple(sorted(r)) for r in simhash.links(d.select("fp")).collect()}
+    assert pair("six_near") in linked and pair("six_far") not in linked
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}

@@ -4,15 +4,17 @@ Fingerprints: 64 bits over 3-word shingles, each hashed by XXH64; computed per A
 
 Links (two fingerprints that differ in at most 2 of 64 bits) by a byte-position inverted index with count filtering.
 Bits differ in at most 2 of the 8 bytes, so a linked pair shares at least 6 positional bytes: the guaranteed minimum.
-Lists of a single positional byte would hold 1/256 of all fingerprints each, so an index term here is the content of
-two of four byte pairs (positions included): any 6 shared positions hold at least two whole byte pairs, so no link is
-missed, and a list stays short. Within a list the shared positional bytes of a pair are tallied, pairs under the minimum
-are dropped and the rest is verified by Hamming distance.
-
-A list may be long where many different near copies share a term. Lists above `list_bound` are not joined with
-themselves: two members at distance 1 or 2 have a common neighbour at distance 0 or 1 that differs only in the 32 bits
-outside the term, so every member is hung on its 33 such neighbours and members of one neighbour are tied to its
-smallest. That is exact up to connectivity and linear in the list.
+Lists of a single positional byte would hold 1/256 of all fingerprints each, so the index has two levels. A term is the
+content of two of four byte pairs (positions included): any 6 shared positions hold at least two whole byte pairs, so no
+link is missed, and a term's members are few. Inside a term the other four bytes are posted, one row a position and byte.
+Members that meet in a posting are counted: 4 positions of the term, and one for each posting they share. Pairs whose
+tally is under the minimum go, and the rest is verified by Hamming distance.
+
+A term may have many members where many different near copies share it. All pairs of `list_bound` members are the most
+that are ever formed; beyond that members are not paired: two members at distance 1 or 2 have a common neighbour at distance 0
+or 1 that differs only in the 32 bits outside the term, so every member is hung on its 33 such neighbours and members of
+one neighbour are tied to its smallest. That is exact up to connectivity and linear in the term's members, so no link is
+lost at any size, and the groups are the same for every `list_bound`.
 
 Exact copies are one node from the start. Components are contracted in rounds (common.components).
 """
@@ -34,6 +36,8 @@ from .similar import similar_groups, sketch
 SHINGLE_WORDS, SEED, MAX_DISTANCE = 3, 42, 2
 MIN_SHARED_BYTES = 8 - MAX_DISTANCE
 LANES = 4
+#: The byte pairs (lanes) whose content is a term.
+TERMS = list(combinations(range(LANES), 2))
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -69,34 +73,43 @@ def fingerprint(texts: pa.Array) -> pa.Array:
 fingerprint = fingerprint.asNondeterministic()  # once a row
 
 
-def shared_bytes(a: str, b: str) -> Column:
-    x = F.col(a).bitwiseXOR(F.col(b))
-    one = lambda k: F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0)
-    return sum((one(k) for k in range(1, 8)), one(0))
-
-
 def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _of_term(values: list[Column]) -> Column:
+    """The value that belongs to a row's term kind c."""
+    out = F.lit(None)
+    for c, v in enumerate(values):
+        out = F.when(F.col("c") == c, v).otherwise(out)
+    return out
+
+
+def tallied(members: DataFrame) -> DataFrame:
+    """c, content, u, v, shared: pairs of a term's members(c, content, fp) that share MIN_SHARED_BYTES positional bytes or
+    more, counted over the postings of the bytes outside the term."""
+    byte = lambda p: (F.lit(p << 8) + F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF))).cast("int")
+    rest = _of_term([F.array(*[byte(2 * k + i) for k in range(LANES) if k not in lanes for i in (0, 1)]) for lanes in TERMS])
+    postings = members.select("c", "content", "fp", F.explode(rest).alias("posting"))
+    a, b = (postings.select("c", "content", "posting", F.col("fp").alias(x)) for x in "uv")
+    met = a.join(b, ["c", "content", "posting"]).filter("u < v").groupBy("c", "content", "u", "v").agg((F.count(F.lit(1)) + 4).alias("shared"))
+    return met.filter(F.col("shared") >= MIN_SHARED_BYTES)
+
+
 def links(nodes: DataFrame, list_bound: int = 32) -> DataFrame:
     """Edges (u, v) over the distinct fingerprints nodes(fp): their components are those of all pairs at Hamming
     distance 2 or less. Pairs from short lists are the links themselves; long lists give the ties described above."""
     lane = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    terms = [F.struct(F.lit(c).alias("c"), (F.shiftleft(lane(i), 16) + lane(j)).alias("content")) for c, (i, j) in enumerate(combinations(range(LANES), 2))]
+    terms = [F.struct(F.lit(c).alias("c"), (F.shiftleft(lane(i), 16) + lane(j)).alias("content")) for c, (i, j) in enumerate(TERMS)]
     postings = nodes.select("fp", F.explode(F.array(*terms)).alias("t")).select(F.col("t.c").alias("c"), F.col("t.content").alias("content"), "fp")
     # counts are written before they are joined back, so that the join is between exchanges and can be split
     sizes = durable(postings.groupBy("c", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
     listed = durable(postings.join(sizes, ["c", "content"]), "simhash-lists")
     short, long = listed.filter(F.col("n") <= list_bound), listed.filter(F.col("n") > list_bound)
-    a, b = short.select("c", "content", F.col("fp").alias("u")), short.select("c", "content", F.col("fp").alias("v"))
-    pairs = a.join(b, ["c", "content"]).filter("u < v").filter(shared_bytes("u", "v") >= MIN_SHARED_BYTES).filter(distance("u", "v") <= MAX_DISTANCE)
-    free = F.lit(None)
-    for c, lanes in enumerate(combinations(range(LANES), 2)):
-        bits = [16 * k + i for k in range(LANES) if k not in lanes for i in range(16)]
-        masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << x) - (1 << 64) * (x == 63)).cast("long") for x in bits])
-        free = F.when(F.col("c") == c, masks).otherwise(free)
-    hung = long.select("c", "content", "fp", F.explode(free).alias("mask")).select("c", "content", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"))
+    pairs = tallied(short).select("u", "v").distinct().filter(distance("u", "v") <= MAX_DISTANCE)
+    flips = [[16 * k + i for k in range(LANES) if k not in lanes for i in range(16)] for lanes in TERMS]
+    masks = [F.array(F.lit(0).cast("long"), *[F.lit((1 << x) - (1 << 64) * (x == 63)).cast("long") for x in bits]) for bits in flips]
+    hung = long.select("c", "content", "fp", F.explode(_of_term(masks)).alias("mask")).select("c", "content", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"))
     least = hung.groupBy("c", "content", "at").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     ties = hung.join(least, ["c", "content", "at"]).select(F.col("fp").alias("u"), "v").filter("u != v")
     return pairs.select("u", "v").union(ties)
