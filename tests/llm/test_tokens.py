@@ -110,8 +110,9 @@ def test_ranks_in_many_slices(spark):
 def test_wavelet(n, v):
     rng = np.random.default_rng(n + v)
     ids = np.minimum(v - 1, rng.geometric(0.02, n) if v > 300 else rng.integers(0, v, n)).astype(np.uint32)
-    shard = wavelet.read_shard(wavelet.build(ids, np.array([3, 7]), np.array([0, n // 3, n])))
-    assert (shard.decode() == ids).all() and shard.doc_ids.tolist() == [3, 7]
+    shard = wavelet.read_shard(wavelet.build(ids, [3, None], np.array([0, n // 3, n]), 4, 9))
+    assert (shard.decode() == ids).all() and shard.doc_ids.tolist() == [3, 0] and shard.no_id.tolist() == [False, True]
+    assert (shard.part, shard.seq) == (4, 9) and (shard.document(1, 100) == ids[n // 3 :]).all()
     for i in rng.integers(0, max(n, 1), 20):
         if n:
             assert shard.access(int(i)) == ids[i]
@@ -130,7 +131,8 @@ def test_wavelet(n, v):
 
 
 def records(docs, shard_tokens=1 << 21):
-    return [tuple(r) for r in wavelet.read_documents(wavelet.write_shards(docs, BYTES, shard_tokens)).orderBy("start").collect()]
+    path = wavelet.write_shards(docs, BYTES, shard_tokens=shard_tokens)
+    return [tuple(r) for r in wavelet.read_documents(docs.sparkSession, path).orderBy("start").collect()]
 
 
 def test_shards(spark, documents):
@@ -141,7 +143,25 @@ def test_shards(spark, documents):
         at += len(ids)
     assert records(table(spark, DATA, "documents"), 9000) == want
     assert sorted(map(tuple, wavelet.op6_wavelet(spark, DATA).collect())) == want
-    rows = [(2, "b c"), (1, None), (None, "first"), (3, ""), (3, "x " * 40_000)]
+    rows = [(2, "b c"), (1, None), (None, "first"), (-(1 << 63), "least"), (3, ""), (3, "x " * 40_000)]
     got = records(documents(rows), 10)
-    assert [r[0] for r in got] == [None, 1, 2, 3, 3] and sum(r[2] for r in got) == sum(len(encode(t)) + 1 for _, t in rows)
+    assert [r[0] for r in got] == [None, -(1 << 63), 1, 2, 3, 3] and sum(r[2] for r in got) == sum(len(encode(t)) + 1 for _, t in rows)
     assert records(documents(rows[:0])) == []
+
+
+def test_shard_files(spark, documents, tmp_path):
+    """One file a shard, as the format says, whoever reads it; damage is found."""
+    texts = [(i, f"text {i} " * (i % 7 + 1)) for i in range(200)]
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(documents(texts).repartition(3), BYTES, path, 300)
+    files = sorted((tmp_path / "shards").glob("part-*"))
+    shards = [wavelet.read_shard(f.read_bytes()) for f in files]
+    assert len(files) > 3 and all(f.read_bytes()[:4] == b"TGWM" and f.read_bytes()[-1:] == b"\n" for f in files)
+    assert len({(s.part, s.seq) for s in shards}) == len(files)
+    ids = {int(d): s.document(k).tolist() for s in shards for k, d in enumerate(s.doc_ids)}
+    assert ids == {i: [*reference(BYTES)(t), 0] for i, t in texts}
+    raw = bytearray(files[0].read_bytes())
+    raw[-1 - sum(r.nbytes for r in shards[0].ranks)] = 1  # the first rank of the first plane
+    bad = pa.RecordBatch.from_arrays([pa.array([bytes(raw)], pa.binary())], ["content"])
+    with pytest.raises((ValueError, IndexError)):
+        list(wavelet._read([bad]))

@@ -50,12 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that drop_durable will delete."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read back: the lineage ends here, a lost executor costs
     nothing that was finished, and what follows scans columns instead of repeating the work."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,44 +1,48 @@
 """Token ids as wavelet matrices, one per shard (operator 6).
 
-A shard holds consecutive documents (ascending doc_id) of about `shard_tokens` ids, as one byte string:
+A shard holds consecutive documents (ascending doc_id) of about `shard_tokens` ids, as one file:
 
-    header   magic TGWM, version, number of ids n, documents, bits, superblock size, alphabet  (little-endian, HEADER)
-    docs     doc_id of each document (int64), first id of each document and n (uint64)
+    header   magic TGWM, version, number of ids n, documents, bits, superblock size, alphabet, and the shard's place:
+             partition and number in it  (little-endian, HEADER)
+    docs     doc_id of each document (int64; 0 for none), one bit a document that is set for none, zero-padded to 8 bytes,
+             first id of each document and n (uint64)
     alphabet the distinct ids of the shard, ascending (uint32); planes hold places in it, in as few bits as they need
     zeros    for each bit plane, how many of its bits are 0 (uint64)
     planes   for each bit from the highest: the n bits of all ids in that plane's order, packed, zero-padded to 8 bytes
     ranks    for each plane: how many 1s stand before every superblock (uint32)
+    end      a line feed
 
 Plane k+1 has the ids of plane k with bit 0 first, then those with bit 1, both in order. So one plane's rank steps down
 to the next: access, rank (count), select (position of an occurrence) and counting all read `bits` planes and nothing
 else, and whole ranges decode by undoing the planes.
 
-The bytes are written by Spark's own writer, one row a shard in files of the shared file system, so that a lost or
-repeated task leaves no half file; read_shard() takes the bytes from anywhere.
+Files are written by Spark's own file writer, one row a file: its commit protocol lets a lost or repeated task leave no
+half file, in any file system that Spark writes to. The writer of text is the one that writes a row's bytes and nothing
+else but the line feed. Files are read as binary files; read_shard() takes the bytes from anywhere.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, new_path, table
 from .tokens import SLICE_BYTES, encoder, load
 
-MAGIC, VERSION, SUPERBLOCK = b"TGWM", 2, 512
-HEADER = "<4sIQIIII"
+MAGIC, VERSION, SUPERBLOCK = b"TGWM", 3, 512
+HEADER = "<4sIQIIIIII"
 END_ID = 0
 ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
+def build(ids: np.ndarray, doc_ids: Sequence[int | None], starts: np.ndarray, part: int = 0, seq: int = 0) -> bytes:
     """The byte form of a shard; starts has one entry more than doc_ids."""
     n = len(ids)
     there = np.zeros(int(ids.max()) + 1 if n else 1, bool)
@@ -59,15 +63,17 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
         zeros.append(len(low))
         if k:
             current = np.concatenate([low, high])
-    head = struct.pack(HEADER, MAGIC, VERSION, n, len(doc_ids), bits, SUPERBLOCK, len(alphabet))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *planes, *ranks])
+    head = struct.pack(HEADER, MAGIC, VERSION, n, len(doc_ids), bits, SUPERBLOCK, len(alphabet), part, seq)
+    none = np.packbits(np.array([d is None for d in doc_ids], bool), bitorder="little")
+    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    return b"".join([head, numbers.tobytes(), np.pad(none, (0, -len(none) % 8)).tobytes(), starts.astype("<u8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *planes, *ranks, b"\n"])
 
 
 class Shard:
     """Access to one shard without decoding it."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.n, docs, self.bits, self.block, letters = struct.unpack_from(HEADER, data)
+        magic, version, self.n, docs, self.bits, self.block, letters, self.part, self.seq = struct.unpack_from(HEADER, data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token shard of this version")
         at = struct.calcsize(HEADER)
@@ -78,7 +84,9 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.starts = take("<i8", docs), take("<u8", docs + 1).astype(np.int64)
+        self.doc_ids = take("<i8", docs)
+        self.no_id = np.unpackbits(take("u1", -(-docs // 64) * 8), count=docs, bitorder="little").astype(bool)
+        self.starts = take("<u8", docs + 1).astype(np.int64)
         self.alphabet = take("<u4", letters)
         self.zeros = take("<u8", self.bits).astype(np.int64).tolist()
         size = -(-self.n // 64) * 8
@@ -157,21 +165,32 @@ class Shard:
             value = back
         return self.alphabet[value]
 
-    def document(self, d: int) -> np.ndarray:
-        """The ids of one document, by position."""
-        i = np.arange(self.starts[d], self.starts[d + 1])
-        value = np.zeros(len(i), np.int64)
-        for p in range(self.bits):
-            bits = self.planes[p]
-            one = (bits[i // 8] >> (i % 8).astype(np.uint8) & 1).astype(bool)
-            before = np.fromiter((self._ones(p, int(x)) for x in i), np.int64, len(i))
-            i = np.where(one, self.zeros[p] + before, i - before)
-            value = value << 1 | one
-        return self.alphabet[value]
+    def _ones_before(self, plane: int, i: np.ndarray) -> np.ndarray:
+        """1s among the first i bits of a plane, for many i at once."""
+        bits, width = self.planes[plane], self.block // 8
+        block, byte = i // self.block, i // 8
+        inside = bits[np.minimum(block[:, None] * width + np.arange(width), len(bits) - 1)]
+        upto = np.where(np.arange(width) < (byte % width)[:, None], ONES[inside], 0).sum(axis=1, dtype=np.int64)
+        last = bits[np.minimum(byte, len(bits) - 1)] & ((1 << i % 8) - 1).astype(np.uint8)
+        return self.ranks[plane][block].astype(np.int64) + upto + ONES[last]
+
+    def document(self, d: int, most: int = 4096) -> np.ndarray:
+        """The ids of one document, by access through the ranks; `most` positions at once."""
+        parts = [np.zeros(0, self.alphabet.dtype)]
+        for first in range(int(self.starts[d]), int(self.starts[d + 1]), most):
+            i = np.arange(first, min(first + most, int(self.starts[d + 1])))
+            value = np.zeros(len(i), np.int64)
+            for p in range(self.bits):
+                one = (self.planes[p][i // 8] >> (i % 8).astype(np.uint8) & 1).astype(bool)
+                before = self._ones_before(p, i)
+                i = np.where(one, self.zeros[p] + before, i - before)
+                value = value << 1 | one
+            parts.append(self.alphabet[value])
+        return np.concatenate(parts)
 
 
 read_shard = Shard
-SHARDS = "part int, seq int, n_docs int, n_tokens long, data binary"
+SHARDS = "data binary"
 RECORDS = "doc_id long, part int, seq int, local long, n_tokens long, ids_crc32 long"
 
 
@@ -198,10 +217,8 @@ def _writer(spec, shard_tokens: int):
 
         def shard() -> pa.RecordBatch:
             nonlocal seq, ids, docs, sizes
-            starts = np.cumsum([0, *sizes])
-            numbers = np.array([NULL_ID if d is None else d for d in docs], np.int64)
-            data = build(np.concatenate(ids), numbers, starts)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int32()), pa.array([int(starts[-1])], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
+            data = build(np.concatenate(ids), docs, np.cumsum([0, *sizes]), part, seq)
+            row = pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], ["data"])  # the writer adds the end
             seq, ids, docs, sizes = seq + 1, [], [], []
             return row
 
@@ -222,43 +239,51 @@ def _writer(spec, shard_tokens: int):
     return write
 
 
-#: Stands for a null doc_id in a shard's document list.
-NULL_ID = -(1 << 63)
-
-
-def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = 1 << 21) -> DataFrame:
-    """The shards of docs in ascending doc_id order, written to the shared folder and read back: part, seq (their order),
-    n_docs, n_tokens, data. Every document ends with the end id; null texts are empty; null ids come first; rows that
-    repeat an id follow each other. An empty table gives no shards."""
+def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, shard_tokens: int = 1 << 21) -> str:
+    """Writes docs in ascending doc_id order as shard files into a new folder, by default in the shared one; its path. Every
+    document ends with the end id; null texts are empty; null ids come first; rows that repeat an id follow each other.
+    An empty table gives no shards."""
     spec = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
+    path = path or new_path(docs.sparkSession, "token-shards")
     placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return durable(placed.mapInArrow(_writer(spec, shard_tokens), SHARDS), "token-shards")
+    shards = placed.mapInArrow(_writer(spec, shard_tokens), SHARDS)
+    # bytes as they are: neither the cast nor the writer of text looks at them
+    shards.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, seq, data in zip(*(batch[c] for c in ("part", "seq", "data")), strict=True):
-            s = Shard(data.as_buffer())
+        for data in batch["content"]:
+            raw = data.as_buffer()
+            if raw.size < struct.calcsize(HEADER):  # Spark writes an empty file where there is no row at all
+                continue
+            s = Shard(raw)
             ids = s.decode()
             starts = s.starts
+            n = len(starts) - 1
+            if n and not np.array_equal(s.document(n - 1), ids[starts[n - 1] : starts[n]]):  # planes and ranks must agree
+                raise ValueError(f"shard {s.part}, {s.seq} is damaged")
             crcs = [zlib.crc32(ids[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            n = len(crcs)
-            numbers = pa.array(s.doc_ids, mask=s.doc_ids == NULL_ID)
-            yield pa.RecordBatch.from_arrays([numbers, pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seq.as_py(), np.int32)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "part", "seq", "local", "n_tokens", "ids_crc32"])
+            numbers = pa.array(s.doc_ids, mask=s.no_id)
+            yield pa.RecordBatch.from_arrays([numbers, pa.array(np.full(n, s.part, np.int32)), pa.array(np.full(n, s.seq, np.int32)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "part", "seq", "local", "n_tokens", "ids_crc32"])
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, read from the shards."""
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, read from the shard files. Each
+    shard is decoded, and its last document also read through the ranks, which must give the same."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    read = durable(files.mapInArrow(_read, RECORDS), "token-records")
     within = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     across = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition of the writer
-    sizes = shards.select("part", "seq", "n_tokens")
+    sizes = read.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n_tokens"))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("first"))
     base = sizes.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("first") + F.col("own")).alias("base"))
-    return shards.select("part", "seq", "data").mapInArrow(_read, RECORDS).join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_wavelet(spark, sf_dir):
     """Contract query: the documents as read back from the shards."""
     import public_tokenizers
 
-    return read_documents(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return read_documents(spark, write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
