@@ -1,4 +1,8 @@
 import itertools
+import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,3 +115,70 @@ def test_quality_edges(spark, documents):
     assert qm.keep_good(documents(rows[:0]), model).count() == 0
     held = qm.op4_quality_model(spark, DATA).select("doc_id", "held_out", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("want"))
     assert held.filter("held_out != want").count() == 0
+
+
+def test_language_brute_force(spark):
+    """The query against word-by-word sums of the learned weights and a forward-backward of one text at a time."""
+    docs = table(spark, DATA, "documents").select("doc_id", "text", "lang")
+    m = lg.train(docs)
+    got = {r["doc_id"]: r for r in lg.op3_language(spark, DATA).collect()}
+    move, first = np.exp(m.transitions), np.exp(m.first)
+    for r in docs.collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) if any(map(str.isalpha, w))]
+        if not words:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        emit = []
+        for w in words:
+            padded = f"^{w}$"
+            names = ["p" + w[:k] for k in (1, 2, 3)] + ["s" + w[-k:] for k in (1, 2, 3)] + [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)] + [padded]
+            total = sum(m.weights[zlib.crc32(x.encode()) % lg.BUCKETS].astype(float) for x in names) + (m.weights[lg.BUCKETS + m.lexicon[w]] if w in m.lexicon else 0)
+            emit.append(np.exp(total - total.max()))
+        alpha, beta = [first * emit[0]], [np.ones(len(m.langs))]
+        for e in emit[1:]:
+            a = alpha[-1] @ move * e
+            alpha.append(a / a.sum())
+        for e in emit[:0:-1]:
+            b = move @ (e * beta[-1])
+            beta.append(b / b.sum())
+        share = np.mean([a * b / (a * b).sum() for a, b in zip(alpha, beta[::-1], strict=True)], axis=0)
+        assert got[r["doc_id"]]["score"] == pytest.approx(share.max(), abs=1e-4)
+        assert share[m.langs.index(got[r["doc_id"]]["lang_pred"])] == pytest.approx(share.max(), abs=1e-4)
+
+
+def test_quality_brute_force(spark):
+    """The query against statistics taken word by word and the learned steps added one by one."""
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    m = qm.train(docs, table(spark, DATA, "labels"))
+    got = {r["doc_id"]: r for r in qm.op4_quality_model(spark, DATA).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        words = [w for w in re.split("[ \t\n\v\f\r]+", text) if w]
+        n, x = len(words), [0.0] * len(qm.NAMES)
+        if n:
+            windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+            twice = {w for w, c in Counter(windows).items() if c > 1}
+            lines = [line for line in text.split("\n") if re.search("[^ \t\v\f\r]", line)]
+            chars = "".join(words)
+            x = [
+                math.log(n + 1), len(chars) / n, sum(c in "#*$%&|<>" for c in text) / n, len({i + k for i, w in enumerate(windows) if w in twice for k in range(3)}) / n,
+                (len(lines) - len(set(lines))) / len(lines), sum("A" <= c <= "Z" for c in chars) / len(chars), sum(c in "!?" for c in chars) / n,
+                sum("0" <= c <= "9" for c in chars) / len(chars), len(set(words)) / n, math.log(n / len(lines) + 1), sum(w[-1] in ".!?" for w in words) / n,
+            ]
+        z = m.bias + sum(w for w, on in zip(m.weights, (v > e for v, edges in zip(x, m.edges, strict=True) for e in edges), strict=True) if on)
+        score = 1 / (1 + math.exp(-max(-40, min(40, z))))
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-9) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_samples_are_bounded(spark):
+    """A third of all rows under one id does not make a sample longer than twice its bound."""
+    rows = [(7 if i % 3 else i, f"word {i} the of and", "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    keep = lg.training_sequences
+    lg.training_sequences = lambda r, seed=7: seen.append(len(r)) or keep(r, seed)
+    try:
+        lg.train(docs, max_docs=20)
+    finally:
+        lg.training_sequences = keep
+    assert seen[0] <= 41

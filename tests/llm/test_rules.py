@@ -89,3 +89,25 @@ def test_repeats_random(n):
     for _ in range(60):
         words = [rng.choice(list("abc")) for _ in range(n)]
         assert qr.repeated_words([w.encode() for w in words]) == plain(" ".join(words))[4]
+
+
+def test_verdict_brute_force(spark):
+    """kept against the learned list walked through rule by rule, on counts taken in plain Python."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rules = qr.learn_rules(docs, table(spark, d, "labels"))
+    assert rules
+    got = {r["doc_id"]: r for r in qr.op9_quality_rules(spark, d).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        n, chars, symbols, dup, repeats = plain(text)
+        letters = re.sub("[ \t\n\v\f\r]", "", text)
+        lines = sum(bool(re.search("[^ \t\v\f\r]", line)) for line in text.split("\n"))
+        share = lambda a, b: a / b if b else 0.0
+        x = {
+            "words": n, "mean_word": share(chars, n), "symbols_per_word": share(symbols, n), "repeat_share": share(repeats, n), "dup_line_share": share(dup, lines),
+            "upper_share": share(sum("A" <= c <= "Z" for c in letters), chars), "marks_per_word": share(sum(c in "!?" for c in letters), n), "digit_share": share(sum("0" <= c <= "9" for c in letters), chars),
+        }
+        fired = next((k for k, rule in enumerate(rules, 1) if all((x[c.feature] > c.threshold) == c.above for c in rule)), None)
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert (got[r["doc_id"]]["base_failed"], got[r["doc_id"]]["rule"], got[r["doc_id"]]["kept"]) == (failed, fired, not failed and fired is None)

@@ -45,5 +45,16 @@ def test_copies_ties_nulls(spark):
 
 
 def test_sign_code(spark):
-    d = spark.createDataFrame([([1.0] * 64,), ([-1.0, 2.0, 0.0],), ([],), (None,), ([float("nan")] + [0.0] * 62 + [3.0, 9.0],)], "v array<float>")
+    d = spark.createDataFrame([([1.0] * 64,), ([-1.0, 2.0, 0.0],), ([],), (None,), ([float("nan")] + [0.0] * 62 + [3.0],)], "v array<float>")
     assert [r[0] for r in d.select(hs.sign_code("v")).collect()] == [-1, 2, 0, None, -(1 << 63) + 1]
+
+
+def test_long_vectors_are_an_error(spark):
+    d = spark.createDataFrame([([1.0] * 65,)], "v array<float>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        d.select(hs.sign_code("v")).collect()
+
+
+def test_other_columns(spark):
+    d = spark.createDataFrame([(i, i % 7, "x", 1, 2, 3) for i in range(50)], "id long, code long, rank string, rb int, qb int, distance int")
+    assert hs.top_k(d, d, 3).columns == ["query_id", "query_code", "rank", "neighbor_id", "distance"] and hs.top_k(d, d, 3).count() == 150

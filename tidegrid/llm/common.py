@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,15 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that drop_durable will delete."""
+    """A path in the shared folder, deleted by drop_durable or else when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
@@ -66,11 +73,17 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_durable(spark: SparkSession) -> None:
-    """Deletes all tables that durable() made in this process, once nothing reads them any more."""
+def made() -> list[str]:
+    """Where the tables of this process are that were not deleted."""
+    return list(_made)
+
+
+def drop_durable(spark: SparkSession, keep: Sequence[str] = ()) -> None:
+    """Deletes the tables that durable() made in this process, but for those kept, once nothing reads them any more."""
     conf = spark._jsc.hadoopConfiguration()
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in [m for m in _made if m not in keep]:
+        _made.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -88,11 +101,17 @@ def give_back() -> None:
         trim(0)
 
 
+def worker_memory() -> dict:
+    """What outlives a task in a Python worker: a module of our own there. (Functions reach workers by value, so that they
+    need no package there, and their globals last for one task.)"""
+    return sys.modules.setdefault("_tidegrid_worker", types.ModuleType("_tidegrid_worker")).__dict__
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (u, v): one row (node, root), root the smallest node of its component,
     for every node that has an edge to another.
 
@@ -116,7 +135,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = edges.select("u", "v").filter("u != v").distinct().checkpoint()
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round shortens all ways to a root; there are about log2 of the longest
         current = star(star(current, True), False).checkpoint()
         h = F.xxhash64("u", "v")
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(h % 1_000_003), F.sum(F.shiftright(h, 32))).first())
@@ -125,4 +144,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("root"))
             ).distinct()
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

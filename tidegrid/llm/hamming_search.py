@@ -25,8 +25,10 @@ FOUND = "query_id long, query_code long, neighbor_id long, distance int"
 
 
 def sign_code(vector: str) -> Column:
-    """64 bits: bit i is set if component i (of the first 64) is above zero; null for a null vector, 0 for an empty one."""
-    return F.expr(f"aggregate(transform(slice({vector}, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    """64 bits: bit i is set if component i is above zero; null for a null vector, 0 for an empty one. A vector of more than
+    64 components is an error: its code would say nothing of the rest."""
+    bits = f"aggregate(transform({vector}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+    return F.expr(f"if(size({vector}) > 64, raise_error('a vector of more than 64 components has no code'), {bits})")
 
 
 def search_block(queries: np.ndarray, codes: np.ndarray, weights: np.ndarray, need: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +109,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, row_block: int = 65_
     """queries(id, code) against rows(id, code): query_id, query_code, rank (from 1), neighbor_id, distance.
 
     Exact: the k least (distance, id) among rows with another id; fewer where there are fewer. Rows with a null id or
-    code are left out on either side; equal (id, code) rows count once; ties go to the smaller id. No rows: no output."""
+    code are left out on either side; equal (id, code) rows count once; ties go to the smaller id. No rows: no output.
+    Columns other than id and code are not read, whatever their names."""
     known = F.col("id").isNotNull() & F.col("code").isNotNull()
     rows, queries = rows.select("id", "code").filter(known), queries.select("id", "code").filter(known)
     d = max(least_blocks, -(-rows.count() // row_block))
@@ -117,7 +120,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, row_block: int = 65_
     left = queries.withColumn("qb", deal(q)).withColumn("rb", each(d))
     right = rows.withColumn("rb", deal(d)).withColumn("qb", each(q))
     # few bytes but much work a group: a number of its own keeps adaptive execution from merging the partitions
-    left, right = (x.repartition(min(2 * d * q, 20_000), "qb", "rb") for x in (left, right))
+    left, right = (x.repartition(2 * d * q, "qb", "rb") for x in (left, right))
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_answer(k), FOUND)
     best = W.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "query_code", "rank", "neighbor_id", "distance")

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import table, training_fold
+from .common import table, training_fold, worker_memory
 
 LETTERS = r"[^\W\d_]+"
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 BLOCK = 96
-#: Words whose scores a worker remembers (about 150 MB); a full memory is emptied.
-REMEMBERED = 500_000
+#: Words whose scores a worker remembers (about 100 MB), and bytes of scores at most; a full memory is emptied.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 64_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,7 +70,8 @@ class Crf:
         if self.scores is None or self.used + len(new) > len(self.scores):
             self.memory.clear()
             self.used, new = 0, words
-            self.scores = np.zeros((max(REMEMBERED, len(words)), len(self.langs)), np.float32)
+            most = min(REMEMBERED, REMEMBERED_BYTES // (4 * len(self.langs)))
+            self.scores = np.zeros((max(most, len(words)), len(self.langs)), np.float32)
         if new:
             lists = [feature_ids(w, self.lexicon) for w in new]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -195,8 +196,9 @@ def training_sequences(rows: list[tuple[int, list[str]]], seed: int = 7) -> list
 
 def train(docs: DataFrame, max_docs: int = 1200, stretch: int = 100, max_langs: int = 200) -> Crf | None:
     """A CRF from docs(doc_id, text, lang): about max_docs / languages documents of each language in the training fold,
-    chosen by hash, `stretch` words of each. None if there is nothing to learn from; more than max_langs languages are an
-    error, none is left out."""
+    chosen by hash, `stretch` words of each; twice max_docs rows and one a language at most, whatever ids repeat. None if
+    there is nothing to learn from; more than max_langs languages are an error, none is left out (the weights, 0.5 MB a
+    language, are broadcast)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_fold(F.col("doc_id"))).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
@@ -210,7 +212,8 @@ def train(docs: DataFrame, max_docs: int = 1200, stretch: int = 100, max_langs:
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size("w") - stretch, F.lit(1))).cast("int") + 1
-    rows = chosen.select("doc_id", "lang", w.alias("w")).select("doc_id", "lang", F.slice("w", spread, F.lit(stretch)).alias("w")).collect()
+    rows = chosen.select("doc_id", "lang", w.alias("w")).select("doc_id", "lang", F.slice("w", spread, F.lit(stretch)).alias("w"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "w").limit(2 * max_docs + len(langs)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["w"]))
     return fit(training_sequences([(langs.index(r["lang"]), r["w"]) for r in rows]), langs)
 
@@ -241,7 +244,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     def guess(texts: pa.Array) -> pa.Array:
         if sent.value is None:
             return pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(texts)), pa.array([0.0] * len(texts))], ["lang_pred", "score"])
-        kept = np.__dict__.setdefault("_kept_language_models", {})  # with its memory of words it outlives a task
+        kept = worker_memory().setdefault("language_models", {})  # with its memory of words it outlives a task
         if sent._path not in kept:
             kept.clear()
             kept[sent._path] = Crf(*sent.value)

@@ -131,21 +131,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, rounds: in
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 5_000, max_unlabelled: int = 5_000) -> QualityModel | None:
-    """A model from about so many documents of either kind, chosen by hash. Labels are read in the training fold only
-    (null labels and ids aside), and only to find positives."""
+    """A model from about so many documents of either kind, chosen by hash, and twice as many at most, whatever ids repeat.
+    Labels are read in the training fold only (null labels and ids aside), and only to find positives; repeated label
+    rows count once, repeated documents as often as they stand there. None where either kind is empty. Of docs and labels only
+    doc_id, text and quality are read, so other columns may have any names."""
     fold = training_fold(F.col("doc_id"))
     known = labels.filter((F.col("quality") == 1) & fold).select("doc_id").distinct()
     n_known, n_docs = known.count(), docs.count()
     share = lambda most, n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n)))
     p = docs.select("doc_id", "text").join(known.filter(share(max_positive, n_known, 1)), "doc_id", "left_semi").withColumn("side", F.lit(1))
     u = docs.select("doc_id", "text").filter(F.coalesce(share(max_unlabelled, n_docs, 2), F.lit(False))).withColumn("side", F.lit(0))
-    rows = p.unionByName(u).select("doc_id", "side", text_statistics("text").alias("x")).toPandas().sort_values(["side", "doc_id"], kind="stable")
+    bounded = lambda d, most: d.select("doc_id", "side", text_statistics("text").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * most)
+    rows = bounded(p, max_positive).unionByName(bounded(u, max_unlabelled)).toPandas().sort_values(["side", "doc_id"], kind="stable")
     x = lambda side: np.array(rows.loc[rows["side"] == side, "x"].tolist(), float).reshape(-1, len(NAMES))
     return fit(x(1), x(0))
 
 
 def scored(model: QualityModel | None):
-    """text -> score; 0.5 everywhere without a model. Null and empty texts score as a text without words."""
+    """text -> score, a function of the text alone; 0.5 everywhere without a model. Null and empty texts score as a text
+    without words, equal texts alike, long ones by the whole."""
 
     @arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
@@ -158,7 +162,8 @@ def scored(model: QualityModel | None):
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold; columns as they were."""
+    """The rows of docs that score at least threshold; columns as they were, whatever their names. Repeated rows and null ids
+    are rows like others; no rows: no rows."""
     return docs.select(F.struct("*").alias("row"), scored(model)("text").alias("score")).filter(F.col("score") >= threshold).select("row.*")
 
 

@@ -175,15 +175,16 @@ def base_failed(counts: str) -> Column:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **settings) -> list[Rule]:
-    """Rules from at most about max_rows labelled documents (null labels or ids aside), chosen by hash among the
-    training fold. Only their statistics reach the driver. Rows that fail the base rules teach nothing."""
+    """Rules from about max_rows labelled documents (null labels or ids aside), chosen by hash among the training fold, and
+    twice as many at most, whatever ids repeat. Only their statistics reach the driver. Rows that fail the base rules teach nothing."""
     known = labels.filter(F.col("quality").isNotNull() & training_fold(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), (F.col("quality") == 0).alias("bad"))
     n = known.count()
     part = F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
     texts = docs.select("doc_id", "text").join(known.filter(part), F.col("doc_id") == F.col("labelled"))
     of = features("counts")
     counted = texts.select("doc_id", "bad", text_counts("text").alias("counts")).filter(~base_failed("counts"))
-    got = counted.select("doc_id", "bad", *[c.alias(k) for k, c in of.items()]).toPandas().sort_values(["doc_id", *of], kind="stable")
+    counted = counted.select("doc_id", "bad", *[c.alias(k) for k, c in of.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", *of, "bad").limit(2 * max_rows)
+    got = counted.toPandas().sort_values(["doc_id", *of], kind="stable")
     got = got.iloc[np.argsort(got["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")] if len(got) else got
     return learn(got[list(of)].to_numpy(float), got["bad"].to_numpy(bool), list(of), **settings)
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import give_back
+from .common import give_back, worker_memory
 
 #: A worker remembers the chunks of a young generation until there are so many, and then of an old one (at most about 170 MB).
 REMEMBERED = 400_000
@@ -177,10 +177,8 @@ class Encoder:
 
 
 def encoder(spec: str) -> Encoder:
-    """The worker's encoder for this tokenizer; it is kept on the library's module and so outlives a task."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    """The worker's encoder for this tokenizer; with its memory of chunks it outlives a task."""
+    kept = worker_memory().setdefault("encoders", {})
     key = hash(spec)
     if key not in kept:
         kept.clear()
