@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import line_dedup, mixing, packing, quality_rules, simhash
-from tidegrid.llm.common import durable, table
+from tidegrid.llm.common import drop_durable, durable, made, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,9 +45,11 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed corpus. A stage's own tables go as soon as its rows are written; those of other queries stay."""
+    docs, others = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_durable(spark, keep=[*others, made()[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
