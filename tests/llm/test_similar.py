@@ -51,3 +51,29 @@ def test_short_and_long_lists(spark, documents, bound):
                 old, new = max(want[i], want[j]), min(want[i], want[j])
                 want = {k: new if x == old else x for k, x in want.items()}
     assert {i: root.get(i, i) for i, _ in rows} == want
+
+
+def test_work_is_linear_in_a_family(spark, documents, monkeypatch):
+    """Twice the near copies of one text: about twice the pairs judged, and nearly all groups of all pairs found."""
+    judged = []
+    keep = similar._judged
+    monkeypatch.setattr(similar, "_judged", lambda t, p: judged.append(p.distinct().count()) or keep(t, p))
+    counts = {}
+    for n in (300, 600):
+        rng = random.Random(7)
+        words = [f"w{k}" for k in range(150)]
+        rows = [(i, near_copy(rng, words, rng.randrange(0, 7))) for i in range(n)]
+        marks = documents(rows).select("doc_id", "text", simhash.F.col("doc_id").alias("h"), simhash.F.col("doc_id").alias("root"), similar.sketch("text").alias("k"))
+        judged.clear()
+        found = components(similar.similar_groups(marks.select("h", "text"), marks.select("h", "root", "k.n", "k.bands"))).collect()
+        counts[n] = sum(judged)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+        group = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    old, new = max(group[i], group[j]), min(group[i], group[j])
+                    group = [new if g == old else g for g in group]
+        merges = n - len(set(group))
+        assert merges > n / 3 and len({r["node"] for r in found}) - len({r["root"] for r in found}) >= 0.97 * merges
+    assert counts[600] < 3 * counts[300]

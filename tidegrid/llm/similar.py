@@ -3,8 +3,13 @@
 Candidates by MinHash: 24 bands of 5 minima, so a pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999
 and a closer one more surely. Every candidate is then judged by its exact similarity (shingles as 64-bit hashes).
 
-Bands whose members are one group already are left out. Lists up to `list_bound` are paired. Members of a longer list
-meet its first member; those that are still in different groups after that are paired too, so no candidate is dropped.
+Bands whose members are one group already are left out. Lists up to `list_bound` are paired. A longer list is a family of
+near copies or of texts that share a frame, and its pairs would grow with the square of its members. What is wanted of it
+are groups, so its members meet its `leaders`: those that are in the most long lists, which stand in the middle of the family.
+Members that are in no leader's group after that meet all members, in lists where there are `list_bound` of them or fewer.
+Where there are more they are left to their other bands: members that share changes share bands that the family doesn't,
+and those lists are short. So work is linear in a list; what it misses are links between texts that are both far from
+every leader and share common bands only.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -96,22 +102,30 @@ def _judged(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(both.filter(5 * F.col("i") >= 4 * (F.col("all") - F.col("i"))).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "similar-found")
 
 
-def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32) -> DataFrame:
+def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32, leaders: int = 4) -> DataFrame:
     """Edges (u, v) between groups that hold similar texts. texts: h, text; sketched: h, root (its group), n, bands."""
     one = sketched.filter(F.size("bands") > 0).groupBy("h").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     postings = durable(one, "similar-sketches").select("h", "root", "n", F.explode("bands").alias("term"))
-    member = F.struct("h", "root", "n")
-    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(member).alias("first"))
+    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     sizes = durable(sizes.filter("low != high").drop("low", "high"), "similar-sizes")
     listed = durable(postings.join(sizes, "term"), "similar-lists")
     fits = (F.col("ru") != F.col("rv")) & (5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv"))
     names = lambda d, x: d.select("term", F.col("h").alias(f"h{x}"), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    cross = lambda d: names(d, "u").join(names(d, "v"), "term").filter("hu < hv").filter(fits).select("hu", "ru", "hv", "rv")
+    meet = lambda a, b: names(a, "u").join(names(b, "v"), "term").filter(fits).select("hu", "ru", "hv", "rv")
     short, long = listed.filter(F.col("size") <= list_bound), listed.filter(F.col("size") > list_bound)
-    star = long.select(F.col("first.h").alias("hu"), F.col("first.root").alias("ru"), F.col("first.n").alias("nu"), F.col("h").alias("hv"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    found = _judged(texts, cross(short).union(star.filter(fits).select("hu", "ru", "hv", "rv")))
+    near = meet(short, short).filter("hu < hv")
     if long.isEmpty():
-        return found
-    now = components(found).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    long = durable(long.join(now, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new", "first"), "similar-long")
-    return found.union(_judged(texts, cross(long)))
+        return _judged(texts, near)
+    # the members that are in the most long lists stand in the middle of their family
+    often = durable(long.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "similar-often")
+    long = durable(long.join(often, "h"), "similar-long")
+    place = F.row_number().over(W.partitionBy("term").orderBy(F.desc("often"), "h"))
+    leading = durable(long.withColumn("place", place).filter(F.col("place") <= leaders).drop("place"), "similar-leaders")
+    found = _judged(texts, near.union(meet(long, leading)))
+    now = durable(components(found).select(F.col("node").alias("root"), F.col("root").alias("new")), "similar-now")
+    renamed = lambda d: d.join(now, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    long = durable(renamed(long), "similar-long")
+    led = durable(renamed(leading).groupBy("term").agg(F.collect_set("root").alias("led")), "similar-led")  # `leaders` roots a term
+    apart = durable(long.join(led, "term").filter(~F.array_contains("led", F.col("root"))).drop("led"), "similar-apart")
+    few = durable(apart.groupBy("term").agg(F.count(F.lit(1)).alias("apart")).filter(F.col("apart") <= list_bound).select("term"), "similar-few")
+    return found.union(_judged(texts, meet(long.join(few, "term", "left_semi"), apart.join(few, "term", "left_semi"))))
