@@ -94,7 +94,8 @@ sketch, shingles = sketch.asNondeterministic(), shingles.asNondeterministic()  #
 def _judged(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v), the groups of those of pairs(hu, ru, hv, rv) that are similar. texts: h, text."""
     pairs = durable(pairs.distinct(), "similar-pairs")
-    asked = pairs.select(F.col("hu").alias("h")).union(pairs.select("hv")).distinct()
+    # written, so that its size is known before texts move: they stay where they are while it can be broadcast
+    asked = durable(pairs.select(F.col("hu").alias("h")).union(pairs.select("hv")).distinct(), "similar-asked")
     known = texts.join(asked, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     sets = durable(known.select("h", shingles("text").alias("s")), "similar-sets")
     a, b = sets.select(F.col("h").alias("hu"), F.col("s").alias("a")), sets.select(F.col("h").alias("hv"), F.col("s").alias("b"))
