@@ -190,13 +190,14 @@ def _pieces_of(ids: np.ndarray, capacity: int) -> list[dict]:
     return [{"start": k, "length": len(part := data[k : k + capacity]), "ids_crc32": zlib.crc32(part.tobytes())} for k in range(0, len(data), capacity)]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every text's ids and the end id, cut where they exceed capacity."""
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **memory: int) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: every text's ids and the end id, cut where they exceed capacity. memory:
+    slice_bytes and remembered of tokens.Encoder, which change what a worker holds but no id."""
     spec = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
 
     @arrow_udf(PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
-        ids, ends = encoder(spec.value).ids(texts)
+        ids, ends = encoder(spec.value, **memory).ids(texts)
         return pa.array([_pieces_of(np.r_[ids[i:j], END_ID], capacity) for i, j in zip(ends, ends[1:], strict=False)], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
 
     cut = docs.select("doc_id", F.posexplode(pieces.asNondeterministic()("text")).alias("piece", "x"))
@@ -230,10 +231,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID, rank_row
     return ranked.select(*pieces.columns, place.asNondeterministic()("length", "rank").alias("at")).select(*pieces.columns, "at.sequence_id", "at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **memory: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. Null and empty texts are the end
-    id alone. Other columns are ignored; an empty table packs into nothing."""
-    return pack(durable(tokenized(docs.select("doc_id", "text"), tokenizer, capacity), "packing-pieces"), capacity)
+    id alone. Other columns are ignored; an empty table packs into nothing. memory as in tokenized()."""
+    return pack(durable(tokenized(docs.select("doc_id", "text"), tokenizer, capacity, **memory), "packing-pieces"), capacity)
 
 
 def op5_packing(spark, sf_dir):

@@ -55,7 +55,8 @@ def _strings(column: pa.Array) -> list[str]:
 class Encoder:
     """ids(texts) -> one array of token ids a text (no special tokens are added or recognised)."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, slice_bytes: int = SLICE_BYTES, remembered: int = REMEMBERED) -> None:
+        self.slice_bytes, self.remembered = slice_bytes, remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,7 +113,7 @@ class Encoder:
         for c in new:
             if len(c) > LONG_CHUNK:
                 del young[c]
-        if len(young) > REMEMBERED:
+        if len(young) > self.remembered:
             self.old, self.young = young, {}
         return out
 
@@ -120,7 +121,7 @@ class Encoder:
         """All ids of the texts in one array, and where each text's begin (with the end of the last); null is empty."""
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         total = int(ends[-1]) if len(ends) else 0
-        slices = max(1, round(total / SLICE_BYTES))
+        slices = max(1, round(total / self.slice_bytes))
         cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(1, slices) * (total / slices), side="right"), len(texts)])
         parts = []
         for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -176,11 +177,11 @@ class Encoder:
         return ids, ends
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, slice_bytes: int = SLICE_BYTES, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for this tokenizer; with its memory of chunks it outlives a task."""
     kept = worker_memory().setdefault("encoders", {})
-    key = hash(spec)
+    key = hash((spec, slice_bytes, remembered))
     if key not in kept:
         kept.clear()
-        kept[key] = Encoder(spec)
+        kept[key] = Encoder(spec, slice_bytes, remembered)
     return kept[key]
