@@ -3,13 +3,17 @@
 Candidates by MinHash: 24 bands of 5 minima, so a pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999
 and a closer one more surely. Every candidate is then judged by its exact similarity (shingles as 64-bit hashes).
 
-Bands whose members are one group already are left out. Lists up to `list_bound` are paired. A longer list is a family of
+Bands whose members are one group already are left out. Lists up to `list_bound` are paired, after the longer ones, which leave
+few pairs of different groups. A longer list is a family of
 near copies or of texts that share a frame, and its pairs would grow with the square of its members. What is wanted of it
-are groups, so its members meet its `leaders`: those that are in the most long lists, which stand in the middle of the family.
-Members that are in no leader's group after that meet all members, in lists where there are `list_bound` of them or fewer.
-Where there are more they are left to their other bands: members that share changes share bands that the family doesn't,
-and those lists are short. So work is linear in a list; what it misses are links between texts that are both far from
-every leader and share common bands only.
+are groups, so links inside a group needn't be found. Shingles that only one text of all long lists has can't be shared: they
+bound a text's overlap with any other, pairs whose bound is too low are left out, and texts without a possible partner in
+a list leave it. The rest is worked in rounds. First the members meet the list's `leaders`: those that are in the most long
+lists, which stand in the middle of the family. Then members outside the list's largest group lead: all of them where there
+are `list_bound` or fewer, else four times as many as in the round before. A member that has led met all others and is settled.
+A list is done when its largest group holds all members that aren't settled: of any two members one was judged against the
+other, or both are in one group. So no candidate is lost, whatever the bounds. Work is linear in a family that has a middle;
+it can grow with the square only among members that stand apart from each other though nearly all their shingles are shared.
 """
 
 from __future__ import annotations
@@ -91,18 +95,29 @@ def shingles(texts: pa.Array) -> pa.Array:
 sketch, shingles = sketch.asNondeterministic(), shingles.asNondeterministic()  # once a row
 
 
-def _judged(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v), the groups of those of pairs(hu, ru, hv, rv) that are similar. texts: h, text."""
-    pairs = durable(pairs.distinct(), "similar-pairs")
-    # written, so that its size is known before texts move: they stay where they are while it can be broadcast
-    asked = durable(pairs.select(F.col("hu").alias("h")).union(pairs.select("hv")).distinct(), "similar-asked")
+def _sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """h, s: the shingles of the texts(h, text) whose h is asked for."""
+    asked = durable(asked.distinct(), "similar-asked")  # its size is known before texts move: they stay while it can be broadcast
     known = texts.join(asked, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    sets = durable(known.select("h", shingles("text").alias("s")), "similar-sets")
+    return durable(known.select("h", shingles("text").alias("s")), "similar-sets")
+
+
+def _judged(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v), the groups of those of pairs(hu, ru, hv, rv) that are similar. sets: h, s."""
+    pairs = durable(pairs.distinct(), "similar-pairs")
     a, b = sets.select(F.col("h").alias("hu"), F.col("s").alias("a")), sets.select(F.col("h").alias("hv"), F.col("s").alias("b"))
     both = pairs.join(a, "hu").join(b, "hv").select("ru", "rv", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("all"))
     return durable(both.filter(5 * F.col("i") >= 4 * (F.col("all") - F.col("i"))).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "similar-found")
 
 
+def _common(long: DataFrame, sets: DataFrame) -> DataFrame:
+    """h, often (long lists that it is in), alone (its shingles that no other text of a long list has)."""
+    often = durable(long.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "similar-often")
+    owned = sets.join(often, "h", "left_semi").select("h", F.explode("s").alias("shingle"))
+    alone = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("h").alias("h")).filter("texts = 1").groupBy("h").agg(F.count(F.lit(1)).alias("alone"))
+    return durable(often.join(alone, "h", "left").select("h", "often", F.coalesce("alone", F.lit(0)).alias("alone")), "similar-alone")
+
+
 def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32, leaders: int = 4) -> DataFrame:
     """Edges (u, v) between groups that hold similar texts. texts: h, text; sketched: h, root (its group), n, bands."""
     one = sketched.filter(F.size("bands") > 0).groupBy("h").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -111,22 +126,39 @@ def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32,
     sizes = durable(sizes.filter("low != high").drop("low", "high"), "similar-sizes")
     listed = durable(postings.join(sizes, "term"), "similar-lists")
     fits = (F.col("ru") != F.col("rv")) & (5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv"))
-    names = lambda d, x: d.select("term", F.col("h").alias(f"h{x}"), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    meet = lambda a, b: names(a, "u").join(names(b, "v"), "term").filter(fits).select("hu", "ru", "hv", "rv")
-    short, long = listed.filter(F.col("size") <= list_bound), listed.filter(F.col("size") > list_bound)
-    near = meet(short, short).filter("hu < hv")
+    enough = 9 * F.least("commonu", "commonv") >= 4 * (F.col("nu") + F.col("nv"))  # J >= 4/5 asks for 4/9 of both sizes in common
+    names = lambda d, x, *more: d.select("term", F.col("h").alias(f"h{x}"), F.col("root").alias(f"r{x}"), *[F.col(c).alias(c + x) for c in ("n", *more)])
+    short, long = (listed.filter(c).drop("size") for c in (F.col("size") <= list_bound, F.col("size") > list_bound))
+    pair = ["hu", "ru", "hv", "rv"]
+    near = lambda d, *more: names(d, "u", *more).join(names(d, "v", *more), "term").filter(fits & (F.col("hu") < F.col("hv")))
+    sets = _sets(texts, listed.select("h"))
     if long.isEmpty():
-        return _judged(texts, near)
-    # the members that are in the most long lists stand in the middle of their family
-    often = durable(long.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "similar-often")
-    long = durable(long.join(often, "h"), "similar-long")
-    place = F.row_number().over(W.partitionBy("term").orderBy(F.desc("often"), "h"))
-    leading = durable(long.withColumn("place", place).filter(F.col("place") <= leaders).drop("place"), "similar-leaders")
-    found = _judged(texts, near.union(meet(long, leading)))
-    now = durable(components(found).select(F.col("node").alias("root"), F.col("root").alias("new")), "similar-now")
-    renamed = lambda d: d.join(now, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
-    long = durable(renamed(long), "similar-long")
-    led = durable(renamed(leading).groupBy("term").agg(F.collect_set("root").alias("led")), "similar-led")  # `leaders` roots a term
-    apart = durable(long.join(led, "term").filter(~F.array_contains("led", F.col("root"))).drop("led"), "similar-apart")
-    few = durable(apart.groupBy("term").agg(F.count(F.lit(1)).alias("apart")).filter(F.col("apart") <= list_bound).select("term"), "similar-few")
-    return found.union(_judged(texts, meet(long.join(few, "term", "left_semi"), apart.join(few, "term", "left_semi"))))
+        return _judged(sets, near(short).select(*pair))
+    known = _common(long, sets)
+    least = durable(long.groupBy("term").agg(F.min("n").alias("least")), "similar-least")
+    long = long.join(known, "h").join(least, "term").withColumn("common", F.col("n") - F.col("alone"))
+    long = durable(long.filter(9 * F.col("common") >= 4 * (F.col("n") + F.col("least"))).drop("alone", "least"), "similar-long")
+    meet = lambda d: names(long, "u", "common").join(names(d, "v", "common"), "term").filter(fits & enough).select(*pair)
+    ranked = lambda d, n: d.withColumn("place", F.row_number().over(W.partitionBy("term").orderBy(F.desc("often"), "h"))).filter(F.col("place") <= n).drop("place")
+    renamed = lambda d, found: d.join(components(found).select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    leading = durable(ranked(long, leaders), "similar-leaders")
+    settled, edges = leading.select("term", "h"), None
+    while True:  # every round settles its leaders, so the rounds end
+        found = _judged(sets, meet(leading))
+        edges = found if edges is None else edges.union(found)
+        long = durable(renamed(long, found), "similar-long")
+        groups = long.groupBy("term", "root").agg(F.count(F.lit(1)).alias("members"))
+        main = durable(groups.groupBy("term").agg(F.max(F.struct("members", "root")).alias("main")).select("term", "main.root"), "similar-main")
+        outside = durable(long.join(main, ["term", "root"], "left_anti").join(settled, ["term", "h"], "left_anti"), "similar-outside")
+        left = durable(outside.groupBy("term").agg(F.count(F.lit(1)).alias("left")), "similar-left")
+        if left.isEmpty():
+            break
+        leaders *= 4
+        few, many = (outside.join(left.filter(c).select("term"), "term", "left_semi") for c in (F.col("left") <= list_bound, F.col("left") > list_bound))
+        leading = durable(few.union(ranked(many, leaders)), "similar-leaders")
+        settled = durable(settled.union(leading.select("term", "h")), "similar-settled")
+        long = durable(long.join(left.select("term"), "term", "left_semi"), "similar-long")
+    short = renamed(short, edges).join(known, "h", "left").withColumn("common", F.col("n") - F.col("alone"))
+    # what is common is known among texts of long lists only
+    pairs = near(durable(short, "similar-short"), "common").filter(F.col("commonu").isNull() | F.col("commonv").isNull() | enough)
+    return edges.union(_judged(sets, pairs.select(*pair)))
