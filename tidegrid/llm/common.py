@@ -116,16 +116,18 @@ def components(edges: DataFrame) -> DataFrame:
     for every node that has an edge to another.
 
     Alternating large-star and small-star contraction. Each half round is a map-side combined minimum joined back to
-    the edges. Minima and edges are checkpoints in the shared folder: a join between two exchanges, whose partitions
-    adaptive execution can split where a node has very many edges. No task and no driver ever holds a component."""
-    shared_dir(edges.sparkSession)
+    the edges. Minima and edges are written tables, deleted once the next round's edges are written: a join between two
+    exchanges, whose partitions adaptive execution can split where a node has very many edges. No task and no driver ever
+    holds a component."""
+    spark, others = edges.sparkSession, made()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).checkpoint()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = durable(least, "components-least")
         joined = both.join(least, F.col("u") == F.col("k"))
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -133,10 +135,11 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
         return out.filter("u != v").distinct()
 
-    current = edges.select("u", "v").filter("u != v").distinct().checkpoint()
+    current = durable(edges.select("u", "v").filter("u != v").distinct(), "components-edges")
     before = None
     while True:  # every round shortens all ways to a root; there are about log2 of the longest
-        current = star(star(current, True), False).checkpoint()
+        current = durable(star(star(current, True), False), "components-edges")
+        drop_durable(spark, keep=[*others, made()[-1]])
         h = F.xxhash64("u", "v")
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(h % 1_000_003), F.sum(F.shiftright(h, 32))).first())
         if now == before:

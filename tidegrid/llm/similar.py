@@ -140,13 +140,15 @@ def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32,
     long = durable(long.filter(9 * F.col("common") >= 4 * (F.col("n") + F.col("least"))).drop("alone", "least"), "similar-long")
     meet = lambda d: names(long, "u", "common").join(names(d, "v", "common"), "term").filter(fits & enough).select(*pair)
     ranked = lambda d, n: d.withColumn("place", F.row_number().over(W.partitionBy("term").orderBy(F.desc("often"), "h"))).filter(F.col("place") <= n).drop("place")
-    renamed = lambda d, found: d.join(components(found).select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    renamed = lambda d, now: d.join(now, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
     leading = durable(ranked(long, leaders), "similar-leaders")
     settled, edges = leading.select("term", "h"), None
     while True:  # every round settles its leaders, so the rounds end
         found = _judged(sets, meet(leading))
         edges = found if edges is None else edges.union(found)
-        long = durable(renamed(long, found), "similar-long")
+        now = components(found).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        now = durable(now, "similar-now")
+        long, short = durable(renamed(long, now), "similar-long"), renamed(short, now)  # a join a round
         groups = long.groupBy("term", "root").agg(F.count(F.lit(1)).alias("members"))
         main = durable(groups.groupBy("term").agg(F.max(F.struct("members", "root")).alias("main")).select("term", "main.root"), "similar-main")
         outside = durable(long.join(main, ["term", "root"], "left_anti").join(settled, ["term", "h"], "left_anti"), "similar-outside")
@@ -158,7 +160,7 @@ def similar_groups(texts: DataFrame, sketched: DataFrame, list_bound: int = 32,
         leading = durable(few.union(ranked(many, leaders)), "similar-leaders")
         settled = durable(settled.union(leading.select("term", "h")), "similar-settled")
         long = durable(long.join(left.select("term"), "term", "left_semi"), "similar-long")
-    short = renamed(short, edges).join(known, "h", "left").withColumn("common", F.col("n") - F.col("alone"))
+    short = short.join(known, "h", "left").withColumn("common", F.col("n") - F.col("alone"))
     # what is common is known among texts of long lists only
     pairs = near(durable(short, "similar-short"), "common").filter(F.col("commonu").isNull() | F.col("commonv").isNull() | enough)
     return edges.union(_judged(sets, pairs.select(*pair)))
