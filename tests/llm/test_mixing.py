@@ -75,6 +75,15 @@ def test_mixed_texts(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_whole_texts(spark):
+    """With whole, every copy is the whole text, and a source misses its target by half of its border document at most."""
+    d = edge(spark, EDGE)
+    assert {r["text"] for r in mixing.mix(d, whole=True).collect()} <= {t for _, t, _ in EDGE}
+    sized = table(spark, DATA, "documents").select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"), mixing.order_key(F.col("text")).alias("key"), F.struct("source").alias("row"))
+    for r in mixing.plan_mix(sized, whole=True).groupBy("row.source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") % F.greatest("size", F.lit(1))).alias("part")).collect():
+        assert r["part"] == 0 and abs(r["taken"] - r["target"]) <= r["most"] / 2 + 1
+
+
 def test_curriculum(spark):
     """Positions follow each source's schedule: the first (fading in) comes later than the last (fading out)."""
     d = spark.createDataFrame([(i, f"s{i % 3}", 10, i) for i in range(3000)], "doc_id long, source string, size long, row long").withColumn("key", mixing.order_key(F.lit("")))

@@ -73,12 +73,13 @@ def slice_digits_for(rows: int, slice_rows: int = 100_000) -> int:
     return digits
 
 
-def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, starts: tuple[float, ...] = STARTS, slice_digits: int = 3) -> DataFrame:
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, starts: tuple[float, ...] = STARTS, slice_digits: int = 3, whole: bool = False) -> DataFrame:
     """sized(doc_id, source, size, key, row): one row out per row in, with row, size, source_size, target, taken, copies
     (words of each copy) and due (training position in [0, 1] of each copy). sized is read twice: once for the sums.
 
     taken is whole passes over the source plus, in the last pass, the documents that come first in order of key until the
-    target is met to the word; the one document at that border gives its first words only. Size 0 is taken 0 times;
+    target is met to the word; the one document at that border gives its first words only or, with whole, all of them or
+    none, whichever comes nearer to the target (half goes up). Size 0 is taken 0 times;
     source null is a source of its own, last in order; doc_id null counts as an empty id. Equal rows follow each
     other in the order, each with its own share. Empty input: empty output."""
     source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key")
@@ -95,6 +96,8 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     passes = range(int(-(-cap // 1)))
     zero, one, a = F.lit(0).cast("long"), F.lit(1.0), F.col("begin")
     copies = [F.greatest(zero, F.least(F.col("size"), F.col("goal") - F.lit(p) * F.col("source_size") - F.col("first"))) for p in passes]
+    if whole:
+        copies = [F.when(2 * c >= F.col("size"), F.col("size")).otherwise(zero) for c in copies]
     word = [(F.col("first") + F.lit(p) * F.col("source_size") + 1) / F.greatest(F.col("goal"), F.lit(1)) for p in passes]
     due = [F.when(a == 1.0, x).otherwise((F.sqrt(F.greatest(F.lit(0.0), a * a + F.lit(4.0) * (one - a) * x)) - a) / F.nullif(F.lit(2.0) * (one - a), F.lit(0.0))) for x in word]
     return d.select("row", "size", "source_size", "target", F.array(*copies).alias("copies"), F.array(*due).alias("due")).withColumn("taken", F.aggregate("copies", zero, lambda s, x: s + x))
@@ -106,7 +109,7 @@ CUT = r"rtrim(' \t\n\u000B\f\r', array_join(slice(regexp_extract_all(line.text,
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: the columns of docs, one row per copy taken, range-sorted by training position. The copy at
-    the border of a target ends after its last taken word, and n_chars, if there is one, is renewed for it. Rows taken
+    the border of a target ends after its last taken word (never with whole=True), and n_chars, if there is one, is renewed for it. Rows taken
     0 times (among them all without a word) are left out. Other columns are carried as they are, whatever their names."""
     sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), order_key(F.col("text")).alias("key"), F.struct("*").alias("row"))
     p = plan_mix(sized, slice_digits=slice_digits_for(docs.count()), **settings)
